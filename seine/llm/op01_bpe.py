@@ -6,7 +6,7 @@ exactly one possible last token: the vocabulary entry that ends the prefix and s
 what goes before it. The distinct words of a batch go into a trie; a depth-first walk carries the last token of each
 prefix down, so a prefix shared by many words is worked out once, and a word's ids are read back from its leaf.
 
-Nothing is shuffled: each Python worker keeps a bounded table of words it has met, for speed alone.
+Nothing is shuffled: each Python worker keeps a bounded table of runs of characters it has met, for speed alone.
 
 Defined results: a null text counts as the empty text, with no ids and the empty string decoded; a null doc_id is
 passed through; repeated rows give repeated rows; other columns of the input are left out; an empty table gives no
@@ -16,6 +16,7 @@ rows; a long text is encoded whole.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -82,7 +83,7 @@ class TrieBpe(WordSplitter):
             for c in chars[:-1]:
                 node = node.setdefault(c, {})
             node[chars[-1] + END] = word  # the end of a word is a symbol of its own
-        vocab, beside, longest = self.vocab, self.beside, self.longest
+        vocab, stands, beside, longest = self.vocab, self.stands, self.beside, self.longest
         last, size, tails, walk = [-1], [0], [""], [iter(root.items())]
         while walk:
             for symbol, child in walk[-1]:
@@ -90,8 +91,11 @@ class TrieBpe(WordSplitter):
                 tail = (tails[-1] + symbol[0])[-longest:]
                 for n in range(len(tail), 0, -1):
                     token = vocab.get(tail[-n:] + end)
-                    if token is not None and beside(last[depth - n], token):
-                        break
+                    if token is not None:
+                        before = last[depth - n]
+                        known = stands.get((before << 20) ^ token)
+                        if known or known is None and beside(before, token):
+                            break
                 else:
                     raise ValueError(f"no last token for {tail!r}")
                 if end:
@@ -115,9 +119,9 @@ class TrieBpe(WordSplitter):
 
 
 class Memo(TrieBpe):
-    """Packed ids and decoded string of each word met, for whole batches of texts."""
+    """Packed ids and decoded string of each run of characters met, for whole batches of texts."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 800_000):
         super().__init__(path)
         self.most = most
         self.forget()
@@ -132,9 +136,13 @@ class Memo(TrieBpe):
         if len(self.packed) + len(new) > self.most:
             self.forget()
             new = set().union(*rows).difference(self.packed)
-        for word, ids in self.encode_words(new):
-            self.packed[word] = np.array(ids, "<u4").tobytes()
-            self.shown[word] = self.decode(ids)
+        cut = {c: self.pieces(c.removeprefix("\n")) for c in new}
+        ids = dict(self.encode_words(set().union(*cut.values())))
+        pack, names = struct.pack, self.names
+        for chunk, words in cut.items():
+            row = ids[words[0]] if len(words) == 1 else [i for w in words for i in ids[w]]
+            self.packed[chunk] = pack(f"<{len(row)}I", *row)
+            self.shown[chunk] = " ".join([names[i] for i in row])
 
 
 _memos: dict[str, Memo] = {}
@@ -167,7 +175,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             keys, out, at = batch.column(0), [], 0
             for texts in groups(batch.column(1).to_pylist()):
-                rows = [m.words(t) for t in texts]
+                rows = [m.chunks(t) for t in texts]
                 m.learn(rows)
                 for row in rows:
                     ids = b"".join(map(m.packed.__getitem__, row))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seine.llm.common import Workspace, create, opened, table
 from seine.llm.op01_bpe import groups, vocabulary
-from seine.llm.wordsplit import WordSplitter
+from seine.llm.wordsplit import END, WordSplitter
 
 MAGIC = b"SEINEIDS"
 HEADER = struct.Struct("<8sIIII")
@@ -149,11 +149,12 @@ class Reader:
 
 
 class LibraryWords(WordSplitter):
-    """Ids as the tokenizers library gives them; it encodes each distinct piece once.
+    """Ids as the tokenizers library gives them; it encodes each distinct run of characters once.
 
-    A text whose normal form changes when it is normalised again goes to the library whole."""
+    New runs go to the library in lines, a run's pieces apart, and are told by the pieces' ends in the ids. A text whose
+    normal form changes when it is normalised again goes to the library whole."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 800_000):
         super().__init__(path)
         from tokenizers import Tokenizer
 
@@ -161,28 +162,36 @@ class LibraryWords(WordSplitter):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for s, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if s.endswith(END)]] = True
         self.most = most
         self.known: dict[str, bytes] = {}
 
-    def steady(self, text: str) -> bool:
-        if text.isascii():
-            return True
-        low = unicodedata.normalize("NFC", text).lower()
-        return unicodedata.is_normalized("NFC", low)
-
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def learn(self, new: list[str], line: int = 5_000) -> None:
+        todo = [c for c in new if c not in self.added]
+        self.known.update((c, np.array([self.added[c]], "<u4").tobytes()) for c in new if c in self.added)
+        cut = [self.pieces(c.removeprefix("\n")) for c in todo]
+        lines = [" ".join([p for ps in cut[a : a + line] for p in ps]) for a in range(0, len(cut), line)]
+        for k, e in enumerate(self.tokenizer.encode_batch(lines, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            some, part = todo[k * line : (k + 1) * line], cut[k * line : (k + 1) * line]
+            stops = np.flatnonzero(self.ends[ids])[np.cumsum([len(ps) for ps in part]) - 1] + 1
+            raw, at = ids.tobytes(), 0
+            for c, stop in zip(some, (4 * stops).tolist()):
+                self.known[c] = raw[at:stop]
+                at = stop
+
     def packed(self, texts: list[str]) -> list[bytes]:
-        rows = [self.words(t) if self.steady(t) else None for t in texts]
+        rows = [self.chunks(t) if t.isascii() or unicodedata.is_normalized("NFC", self.normal(t)) else None for t in texts]
         used = [r for r in rows if r is not None]
         new = set().union(*used).difference(self.known)
         if len(self.known) + len(new) > self.most:
             self.known = {}
             new = set().union(*used)
-        new = list(new)
-        for a in range(0, len(new), 10_000):
-            self.known.update(zip(new[a : a + 10_000], self.whole(new[a : a + 10_000])))
+        self.learn(list(new))
         get = self.known.__getitem__
         return [b"".join(map(get, r)) if r is not None else self.whole([t])[0] for r, t in zip(rows, texts)]
 

@@ -13,6 +13,7 @@ CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Unicode white space.
 SPACE = "\t-\r \x85\xa0  -     　"
 END = "</w>"
+_SEPARATOR = re.compile("[\x1c-\x1f]").search
 
 
 @lru_cache(None)
@@ -44,26 +45,36 @@ class WordSplitter:
             self.spec = json.load(f)
         self.added = {t["content"]: t["id"] for t in self.spec.get("added_tokens", [])}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.spaced = re.compile(f"[^{SPACE}]+").findall
         letter, number = char_class("L"), char_class("N")
         self.ascii = re.compile(f"{CONTRACTIONS}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
         self.piece = re.compile(f"{CONTRACTIONS}|[{letter}]+|[{number}]|[^{SPACE}{letter}{number}]+").findall
 
-    def pieces(self, text: str) -> list[str]:
-        """Pieces of a text without special strings."""
+    def normal(self, text: str) -> str:
         if text.isascii():
-            return self.ascii(text.lower())
+            return text.lower()
         # Rust lower-cases each character by itself: no final sigma
-        return self.piece(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def pieces(self, normal: str) -> list[str]:
+        """Pieces of a normalised text without special strings."""
+        return self.ascii(normal) if normal.isascii() else self.piece(normal)
 
     def segments(self, text: str) -> list[str]:
         """The text cut at special strings, which stay as items of their own."""
         return self.special.split(text) if self.special else [text]
 
-    def words(self, text: str) -> list[str]:
-        """Pieces and special strings in order. A piece cannot equal a special string: it has letters or signs, not both."""
-        if "<|" not in text:
-            return self.pieces(text)
-        out = []
-        for s in self.segments(text):
-            out.extend([s] if s in self.added else self.pieces(s))
-        return out
+    def chunks(self, text: str) -> list[str]:
+        """Special strings, and runs of other characters than white space, normalised; pieces never cross their ends.
+
+        In a run that looks like a special string but is none, a line break goes before it, so that the two differ."""
+        if "<|" in text:
+            out = []
+            for s in self.segments(text):
+                out.extend([s] if s in self.added else ["\n" + c if c in self.added else c for c in self.chunks_of(self.normal(s))])
+            return out
+        return self.chunks_of(self.normal(text))
+
+    def chunks_of(self, normal: str) -> list[str]:
+        # str.split() also cuts at the four separators \x1c-\x1f, which are no white space to the vocabulary
+        return normal.split() if not _SEPARATOR(normal) else self.spaced(normal)
