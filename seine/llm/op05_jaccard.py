@@ -2,8 +2,9 @@
 
 Links are pairs of texts whose sets of word shingles have 100 * |intersection| >= percent * |union|.
 
-1. Common shingles: each task reports shingles that it sees in several of its texts. The most common of these (a list of
-   bounded size) are put last in the order of tokens; any order gives the same links, this one makes prefixes rare.
+1. Common shingles: each task reports shingles that it sees in more than one of its texts. The most common of these (a
+   list of bounded size) get levels by their counts and are put last in the order of tokens, by level; any order gives
+   the same links, this one makes prefixes rare.
 2. Texts with equal sets form a class; from here on a class is one member (`cid` names it).
 3. Prefix: with n tokens and n - ceil(t n) + 1 of them, two linked sets share a token; with one more they share two
    (k = 2). A token that few prefixes hold is indexed alone. For a common one pairs of common tokens are indexed.
@@ -36,13 +37,13 @@ from seine.llm.common import Workspace, table
 from seine.llm.components import components
 from seine.llm.shingles import Shingler, class_id
 
-#: A shingle counts as common for the order when a task sees it in so many of its texts; so many are kept at most.
-SEEN, COMMON = 8, 1 << 18
+#: A shingle is reported for the order when a run of texts has it so often; so many are kept at most.
+SEEN, COMMON = 2, 1 << 18
 #: A token in more prefixes than this is indexed in combinations.
 FREQUENT = 64
 
 
-_ONE, _TOP = np.uint64(1), np.uint64(63)
+_ONE, _SIX, _LEVEL = np.uint64(1), np.uint64(6), np.uint64(58)
 #: Bits of the bitmap that spares texts a shuffle, and bits in a word of it.
 BITS, WORD = 1 << 23, 64
 
@@ -51,8 +52,8 @@ def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
-def common_shingles(docs: DataFrame, k: int, run_of: int = 1 << 21) -> np.ndarray:
-    """Sorted hashes of the most common shingles. At most COMMON of them reach the driver."""
+def common_shingles(docs: DataFrame, k: int, run_of: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most common shingles and their levels, 1 to 63. At most COMMON of them reach the driver."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         sh, held, n = Shingler(k), [], 0
@@ -73,17 +74,19 @@ def common_shingles(docs: DataFrame, k: int, run_of: int = 1 << 21) -> np.ndarra
             yield counts()
 
     found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "token").limit(COMMON).select("token").toArrow()
-    return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    top = found.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    token, n = top.column(0).to_numpy().astype(np.int64).view(np.uint64), top.column(1).to_numpy()
+    by = np.argsort(token)
+    return token[by], np.minimum(2 * np.log2(np.maximum(n[by], 1)), 63).astype(np.uint64)
 
 
-def prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, cid (null without shingles), prefix. Tokens are unsigned in order: a bit that is set for common
-    ones, then 63 bits of the hash; columns hold them as signed longs."""
+def prefixes(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, n_shingles, cid (null without shingles), prefix. Tokens are unsigned in order: six bits of the level, then 58
+    bits of the hash; columns hold them as signed longs."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        sh, late = Shingler(k), shared.value
+        sh, (late, level) = Shingler(k), shared.value
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -91,10 +94,10 @@ def prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataF
                 for text in part.column(1):
                     s = sh.set(text.as_py())
                     n = len(s)
-                    order = s >> _ONE
+                    order = s >> _SIX
                     if n and len(late):
-                        where = np.searchsorted(late, s)
-                        order |= (late[np.minimum(where, len(late) - 1)] == s).astype(np.uint64) << _TOP
+                        where = np.minimum(np.searchsorted(late, s), len(late) - 1)
+                        order |= np.where(late[where] == s, level[where], 0).astype(np.uint64) << _LEVEL
                         order.sort()
                     most = n - (percent * n + 99) // 100 + 2
                     rows.append((n, class_id(s) if n else None, order[:most].view(np.int64)))

@@ -21,7 +21,7 @@ class Shingler:
     """Words are runs of bytes other than ASCII white space, with A-Z lowered. A text of fewer than k words, but with
     some, has one shingle: the whole sequence. Shingles are 64-bit hashes."""
 
-    def __init__(self, k: int, most: int = 500_000):
+    def __init__(self, k: int, most: int = 300_000):
         self.k, self.most, self.known = k, most, _Hashes()
 
     def words(self, text: str | None) -> np.ndarray:
