@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("op01_bpe", "op03_quality", "op04_mixing", "op05_jaccard", "op06_lines", "op07_embedding", "op08_warc", "op09_audio", "op10_token_file")
+MODULES = ("op01_bpe", "op02_lm", "op03_quality", "op04_mixing", "op05_jaccard", "op06_lines", "op07_embedding", "op08_warc", "op09_audio", "op10_token_file")
 
 
 def _gather(name: str) -> dict:
