@@ -120,6 +120,7 @@ class Reader:
 
     def __init__(self, file):
         self.file = file
+        file.seek(0)
         magic, version, self.width, self.block, _ = HEADER.unpack(file.read(HEADER.size))
         file.seek(0, 2)
         end = file.tell()
