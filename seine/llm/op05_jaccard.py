@@ -2,18 +2,20 @@
 
 Links are pairs of texts whose sets of word shingles have 100 * |intersection| >= percent * |union|.
 
-1. Common shingles: each task reports shingles that it sees in more than one of its texts. The most common of these (a
-   list of bounded size) get levels by their counts and are put last in the order of tokens, by level; any order gives
-   the same links, this one makes prefixes rare.
+1. Common shingles: all shingles of all texts are counted, as sorted runs of short hashes per bucket. The most common (a
+   list of bounded size) get levels by their counts and come last in the order of tokens, by level; any order gives the
+   same links, this one makes prefixes rare.
 2. Texts with equal sets form a class; from here on a class is one member (`cid` names it).
 3. Prefix: with n tokens and n - ceil(t n) + 1 of them, two linked sets share a token; with one more they share two
    (k = 2). A token that few prefixes hold is indexed alone. For a common one pairs of common tokens are indexed.
    If two linked sets share a rare token, they meet there; if all they share are common, they share two of them.
-4. First each member of a token's list is compared with the list's first member alone. What links this finds joins
-   large groups of near copies, whose members need no further comparison with each other: components of links are the
-   result, and a link inside a component adds nothing to it.
-5. Then members of different components that still meet, under a rare token or a pair of common ones, with sizes that
-   allow a link, are all compared. No list is gathered in one place; joins stream and adaptive execution splits them.
+4. First each member of a token's list is compared with one member alone, that with the fewest tokens of its own, so the
+   middle of a group of near copies. What links this finds joins large groups, whose members need no further comparison
+   with each other: components of links are the result, and a link inside a component adds nothing to it.
+5. Then members of different components that still meet, under a rare token or a pair of common ones, are compared if
+   their sizes allow a link without the tokens that no other prefix holds: where the other's prefix reaches beyond the
+   tokens without a level, it lacks all such tokens of this one. No list is gathered in one place; joins stream and
+   adaptive execution splits them.
 6. A pair is dropped early only if its prefixes prove that it cannot link: up to the smaller of their last tokens both
    sets are known, and what is left of the smaller set bounds what else they can share. All other pairs are compared
    on whole sets of 64-bit shingle hashes, made again from the whole texts. A bitmap of fixed size tells most texts
@@ -33,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seine.llm.common import Workspace, table
+from seine.llm.common import Workspace, input_bytes, table
 from seine.llm.components import components
 from seine.llm.shingles import Shingler, class_id
 
-#: A shingle is reported for the order when a run of texts has it so often; so many are kept at most.
-SEEN, COMMON = 2, 1 << 18
+#: A shingle counts as common from so many texts on; so many are kept at most, the most common ones.
+SEEN, COMMON = 6, 1 << 19
+#: Bits of a hash that are compared within a bucket of counts; a chance match only changes the order of tokens.
+SHORT = 32
 #: A token in more prefixes than this is indexed in combinations.
 FREQUENT = 64
 
@@ -52,42 +56,67 @@ def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
-def common_shingles(docs: DataFrame, k: int, run_of: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the most common shingles and their levels, 1 to 63. At most COMMON of them reach the driver."""
+def common_shingles(docs: DataFrame, k: int, run_of: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, int]:
+    """Short hashes of the most common shingles, ascending, their levels (1 to 63), and by how many bits a hash is cut.
+    At most COMMON of them reach the driver."""
+    bits = max(8, (input_bytes(docs, "text") >> 22).bit_length())
+    cut = 64 - bits - SHORT
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
+    def runs(batches) -> Iterator[pa.RecordBatch]:
         sh, held, n = Shingler(k), [], 0
 
-        def counts():
-            values, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= SEEN
-            return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["token", "n"])
+        def counted():
+            v = np.sort(np.concatenate(held)) >> np.uint64(cut)
+            stops = np.searchsorted(v, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(SHORT))
+            parts = np.split(v.astype(np.uint32), stops)
+            some = [i for i, x in enumerate(parts) if len(x)]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["bucket", "data"])
 
         for batch in batches:
             for text in batch.column(0):
                 held.append(sh.set(text.as_py()))
                 n += len(held[-1])
                 if n >= run_of:
-                    yield counts()
+                    yield counted()
                     held, n = [], 0
+        if n:
+            yield counted()
+
+    def totals(batches) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def counted():
+            v, n = np.unique(np.frombuffer(b"".join(held), np.uint32), return_counts=True)
+            keep = n >= SEEN
+            return pa.RecordBatch.from_arrays([pa.array((now << SHORT) + v[keep].astype(np.int64)), pa.array(n[keep].astype(np.int64))], ["token", "n"])
+
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and bucket != now:
+                    yield counted()
+                    held = []
+                now = bucket
+                held.append(data)
         if held:
-            yield counts()
+            yield counted()
 
-    found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
-    token, n = top.column(0).to_numpy().astype(np.int64).view(np.uint64), top.column(1).to_numpy()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select("text").mapInArrow(runs, "bucket int, data binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    top = dealt.mapInArrow(totals, "token long, n long").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    token, n = top.column(0).to_numpy().astype(np.uint64), top.column(1).to_numpy()
     by = np.argsort(token)
-    return token[by], np.minimum(2 * np.log2(np.maximum(n[by], 1)), 63).astype(np.uint64)
+    return token[by], np.minimum(2 * np.log2(np.maximum(n[by], 1)), 63).astype(np.uint64), cut
 
 
-def prefixes(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n_shingles, cid (null without shingles), prefix. Tokens are unsigned in order: six bits of the level, then 58
+def prefixes(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
+    """doc_id, n_shingles, cid (null without shingles), prefix, plain (its tokens without a level), deep (whether it has
+    tokens with one). Tokens are unsigned in order: six bits of the level, then 58
     bits of the hash; columns hold them as signed longs."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        sh, (late, level) = Shingler(k), shared.value
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        sh, (late, level, cut) = Shingler(k), shared.value
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.bool_()]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part, rows = batch.slice(at, 1000), []
@@ -96,15 +125,18 @@ def prefixes(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np
                     n = len(s)
                     order = s >> _SIX
                     if n and len(late):
-                        where = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                        order |= np.where(late[where] == s, level[where], 0).astype(np.uint64) << _LEVEL
+                        short = s >> np.uint64(cut)
+                        where = np.minimum(np.searchsorted(late, short), len(late) - 1)
+                        order |= np.where(late[where] == short, level[where], 0).astype(np.uint64) << _LEVEL
                         order.sort()
                     most = n - (percent * n + 99) // 100 + 2
-                    rows.append((n, class_id(s) if n else None, order[:most].view(np.int64)))
+                    order = order[:most]
+                    plain = int(np.searchsorted(order, _ONE << _LEVEL))
+                    rows.append((n, class_id(s) if n else None, order.view(np.int64), plain, plain < len(order)))
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, kind) for c, kind in zip(cols, kinds[1:]))], ["doc_id", "n_shingles", "cid", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, kind) for c, kind in zip(cols, kinds[1:]))], ["doc_id", "n_shingles", "cid", "prefix", "plain", "deep"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cid long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, cid long, prefix array<long>, plain long, deep boolean")
 
 
 def sets_of(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
@@ -169,12 +201,21 @@ def near_duplicates(docs: DataFrame, work: Workspace, k: int = 5, percent: int =
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
     docs = _ids(docs)
     rows = work.write(prefixes(docs, k, percent, common_shingles(docs, k)), "prefixes")
-    one = rows.where("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+    one = rows.where("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("prefix", "plain", "deep")))
     classes = work.write(one, "classes")
     member = classes.select("cid", "n", F.explode("prefix").alias("token"))
-    lists = work.write(member.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("cid", "n")).alias("head")).where("m > 1"), "lists")
-    met = work.write(member.join(lists, "token").select("token", "m", "cid", "n", F.col("head.cid").alias("head"), F.col("head.n").alias("head_n")), "met")
-    near = lambda a, b: F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+    lists = work.write(member.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "lists")
+    met = work.write(member.join(lists, "token").select("token", "m", "cid", "n"), "met")
+    # how many of a class's tokens without a level no other prefix holds
+    held = met.where("shiftrightunsigned(token, 58) = 0").groupBy("cid").agg(F.count("*").alias("held"))
+    own = work.write(classes.select("cid", "plain", "deep").join(held, "cid", "left").select("cid", (F.col("plain") - F.coalesce("held", F.lit(0))).alias("alone"), "deep"), "own")
+    known = work.write(met.join(own, "cid"), "known")
+    heads = work.write(known.groupBy("token").agg(F.min(F.struct("alone", "cid", "n", "deep")).alias("y")), "heads")
+    work.drop(met, lists, own)
+
+    def may(x: str, y: str):
+        most = f"least({x}.n - if({y}.deep, {x}.alone, 0), {y}.n - if({x}.deep, {y}.alone, 0))"
+        return F.expr(f"100 * {most} >= {percent} * ({x}.n + {y}.n - {most})")
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = work.write(hopeful(pairs, classes, percent), "hopeful")
@@ -186,15 +227,15 @@ def near_duplicates(docs: DataFrame, work: Workspace, k: int = 5, percent: int =
         work.drop(want, sets)
         return found
 
-    # 4. each list's first member against the others
-    pairs = work.write(met.where("cid <> head").where(near("n", "head_n")).select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct(), "stars")
+    # 4. each list's member with the fewest tokens of its own against the others
+    stars = known.alias("x").join(heads, "token").where("x.cid <> y.cid").where(may("x", "y"))
+    pairs = work.write(stars.select(F.col("y.cid").alias("a"), F.col("x.cid").alias("b")).distinct(), "stars")
     links = linked(pairs)
     labels = components(work, links)
 
     # 5. members of different components that meet
-    named = met.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("token", "m", "cid", "n", F.coalesce("label", "cid").alias("label"))
-    named = work.write(named, "named")
-    work.drop(met, lists)
+    named = work.write(known.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "named")
+    work.drop(known, heads)
     mixed = work.write(named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"), "mixed")
     left = work.write(named.join(mixed, "token"), "left")
     work.drop(named, mixed)
@@ -202,11 +243,12 @@ def near_duplicates(docs: DataFrame, work: Workspace, k: int = 5, percent: int =
     def meetings(index: DataFrame, keys: list[str]) -> DataFrame:
         x, y = index.alias("x"), index.alias("y")
         same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys]
-        return x.join(y, [*same, F.col("x.cid") < F.col("y.cid"), F.col("x.label") != F.col("y.label"), near("x.n", "y.n")]).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+        return x.join(y, [*same, F.col("x.cid") < F.col("y.cid"), F.col("x.label") != F.col("y.label"), may("x", "y")]).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
 
     rare = meetings(left.where(F.col("m") <= frequent), ["token"])
-    own = left.where(F.col("m") > frequent).groupBy("cid", "n", "label").agg(F.array_sort(F.collect_list("token")).alias("t"))
-    combined = own.select("cid", "n", "label", "t", F.posexplode("t").alias("i", "t1")).select("cid", "n", "label", "t1", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("t2"))
+    of = ["cid", "n", "label", "alone", "deep"]
+    common = left.where(F.col("m") > frequent).groupBy(*of).agg(F.array_sort(F.collect_list("token")).alias("t"))
+    combined = common.select(*of, "t", F.posexplode("t").alias("i", "t1")).select(*of, "t1", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("t2"))
     more = rare.union(meetings(work.write(combined, "combined"), ["t1", "t2"])).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = work.write(more.join(done, ["a", "b"], "left_anti"), "rest")
