@@ -56,7 +56,7 @@ def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
-def common_shingles(docs: DataFrame, k: int, run_of: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, int]:
+def common_shingles(docs: DataFrame, k: int, run_of: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, int]:
     """Short hashes of the most common shingles, ascending, their levels (1 to 63), and by how many bits a hash is cut.
     At most COMMON of them reach the driver."""
     bits = max(8, (input_bytes(docs, "text") >> 22).bit_length())
@@ -240,16 +240,18 @@ def near_duplicates(docs: DataFrame, work: Workspace, k: int = 5, percent: int =
     left = work.write(named.join(mixed, "token"), "left")
     work.drop(named, mixed)
 
-    def meetings(index: DataFrame, keys: list[str]) -> DataFrame:
+    def meetings(index: DataFrame, keys: list[str], *first) -> DataFrame:
         x, y = index.alias("x"), index.alias("y")
         same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys]
-        return x.join(y, [*same, F.col("x.cid") < F.col("y.cid"), F.col("x.label") != F.col("y.label"), may("x", "y")]).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+        return x.join(y, [*same, F.col("x.cid") < F.col("y.cid"), F.col("x.label") != F.col("y.label"), may("x", "y"), *first]).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
 
     rare = meetings(left.where(F.col("m") <= frequent), ["token"])
     of = ["cid", "n", "label", "alone", "deep"]
     common = left.where(F.col("m") > frequent).groupBy(*of).agg(F.array_sort(F.collect_list("token")).alias("t"))
-    combined = common.select(*of, "t", F.posexplode("t").alias("i", "t1")).select(*of, "t1", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("t2"))
-    more = rare.union(meetings(work.write(combined, "combined"), ["t1", "t2"])).distinct()
+    combined = common.select(*of, "t", F.posexplode("t").alias("i", "t1")).select(*of, "t", "i", "t1", F.posexplode(F.expr("slice(t, i + 2, size(t))")).alias("j", "t2"))
+    # two classes meet once: under the first two common tokens that they share
+    first = F.expr("not arrays_overlap(slice(x.t, 1, x.i), slice(y.t, 1, y.i)) and not arrays_overlap(slice(x.t, x.i + 2, x.j), slice(y.t, y.i + 2, y.j))")
+    more = rare.union(meetings(work.write(combined, "combined"), ["t1", "t2"], first)).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = work.write(more.join(done, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
