@@ -56,6 +56,18 @@ class Workspace:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_memos: dict = {}
+
+
+def claim(name: str, forget) -> None:
+    """For Python workers, which Spark uses again for other operators: the memos of all but the named one are emptied."""
+    if name not in _memos:
+        for clear in _memos.values():
+            clear()
+        _memos.clear()
+        _memos[name] = forget
+
+
 def input_bytes(df: DataFrame, col: str) -> int:
     """Bytes of a text column, from one small aggregation."""
     return df.agg(F.sum(F.octet_length(col)).alias("b")).first()["b"] or 0

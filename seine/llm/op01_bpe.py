@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from seine.llm.common import table
+from seine.llm.common import claim, table
 from seine.llm.wordsplit import END, WordSplitter, byte_chars
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -121,7 +121,7 @@ class TrieBpe(WordSplitter):
 class Memo(TrieBpe):
     """Packed ids and decoded string of each run of characters met, for whole batches of texts."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 500_000):
         super().__init__(path)
         self.most = most
         self.forget()
@@ -171,6 +171,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Per row: the id, n_tokens, ids (packed little-endian uint32, only if keep_ids) and both digests."""
 
     def run(batches):
+        claim("bpe", _memos.clear)
         m = memo(path)
         for batch in batches:
             keys, out, at = batch.column(0), [], 0

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seine.llm.common import table
+from seine.llm.common import claim, table
 from seine.llm.logistic import Rows, fit, newton, sigmoid
 
 LABELLED, POOL, ROUNDS, HANDED, SURE = 8000, 4000, 3, 400, 0.97
@@ -169,6 +169,7 @@ class Model:
 
 
 def _extract(batches) -> Iterator[pa.RecordBatch]:
+    claim("quality", _features.clear)
     for batch in batches:
         cols = [batch.column(i).to_pylist() for i in range(4, 8)]
         ids, meta = [], []
@@ -185,6 +186,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     n = len(docs.columns)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        claim("quality", _features.clear)
         m = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seine.llm.common import Workspace, table
+from seine.llm.common import Workspace, claim, table
 
 LABELLED, SIZE = 6000, 1 << 16
 STEPS, CLOSE = 60, 1e-5
@@ -115,6 +115,7 @@ def posteriors(docs: DataFrame, model: Membership) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        claim("mixing", _slots.clear)
         m = shared.value
         for batch in batches:
             rows = [slots(t.as_py()) for t in batch.column(1)]
@@ -211,6 +212,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, work: Workspace, targets: dict[s
     n = len(docs.columns)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        claim("mixing", _slots.clear)
         m = shared.value
         for batch in batches:
             if batch.num_rows:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from seine.llm.common import Workspace, create, opened, table
+from seine.llm.common import Workspace, claim, create, opened, table
 from seine.llm.op01_bpe import groups, vocabulary
 from seine.llm.wordsplit import END, WordSplitter
 
@@ -210,6 +210,7 @@ def write_token_files(docs: DataFrame, to: str, vocab: str, end_id: int = END_ID
     """Write the shards under the folder; returns the manifest (shard, uri, n_docs, n_tokens). Lazy: writing the manifest writes the shards."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        claim("ids", _words.clear)
         encoder, end = library(vocab), np.array([end_id], np.uint32)
         first = next(batches, None)
         if first is None:
