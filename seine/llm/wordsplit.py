@@ -8,6 +8,9 @@ import sys
 import unicodedata
 from functools import lru_cache
 
+from tokenizers import Regex
+from tokenizers.pre_tokenizers import Split
+
 #: The contractions that the pre-tokeniser keeps together, in its order.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Unicode white space.
@@ -19,15 +22,10 @@ _SEPARATOR = re.compile("[\x1c-\x1f]").search
 @lru_cache(None)
 def char_class(initial: str) -> str:
     """Ranges of the code points whose general category starts with the letter, for use inside [...]."""
-    out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == initial
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
+    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    # versions of Unicode differ in what is a letter; the regular expressions of the tokenizers library decide
+    runs = Split(Regex(f"\\p{{{initial}}}+"), "removed", invert=True).pre_tokenize_str(every)
+    return "".join(f"\\U{ord(t[0]):08x}-\\U{ord(t[-1]):08x}" for t, _ in runs)
 
 
 def byte_chars() -> dict[int, str]:
