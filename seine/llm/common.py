@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,12 +63,25 @@ _memos: dict = {}
 
 
 def claim(name: str, forget) -> None:
-    """For Python workers, which Spark uses again for other operators: the memos of all but the named one are emptied."""
+    """For Python workers, which Spark uses again for other operators: the memos of all but the named one are emptied.
+
+    `forget` is a function of its module. A method of a memo would not do: a nested function goes to the workers with
+    copies of the objects it names, and the copy would be emptied."""
     if name not in _memos:
         for clear in _memos.values():
             clear()
         _memos.clear()
         _memos[name] = forget
+        release()
+
+
+def release() -> None:
+    """Give memory that is free back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def input_bytes(df: DataFrame, col: str) -> int:

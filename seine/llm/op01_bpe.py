@@ -148,6 +148,10 @@ class Memo(TrieBpe):
 _memos: dict[str, Memo] = {}
 
 
+def _forget() -> None:
+    _memos.clear()
+
+
 def memo(path: str) -> Memo:
     if path not in _memos:
         _memos[path] = Memo(path)
@@ -171,7 +175,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Per row: the id, n_tokens, ids (packed little-endian uint32, only if keep_ids) and both digests."""
 
     def run(batches):
-        claim("bpe", _memos.clear)
+        claim("bpe", _forget)
         m = memo(path)
         for batch in batches:
             keys, out, at = batch.column(0), [], 0

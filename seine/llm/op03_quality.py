@@ -50,6 +50,10 @@ class Features(dict):
 _features = Features()
 
 
+def _forget() -> None:
+    _features.clear()
+
+
 def text_view(text: str | None) -> tuple[np.ndarray, int, int]:
     """Distinct feature ids, words, distinct words."""
     if len(_features) > 300_000:
@@ -169,7 +173,7 @@ class Model:
 
 
 def _extract(batches) -> Iterator[pa.RecordBatch]:
-    claim("quality", _features.clear)
+    claim("quality", _forget)
     for batch in batches:
         cols = [batch.column(i).to_pylist() for i in range(4, 8)]
         ids, meta = [], []
@@ -186,7 +190,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     n = len(docs.columns)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        claim("quality", _features.clear)
+        claim("quality", _forget)
         m = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):

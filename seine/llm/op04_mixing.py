@@ -43,6 +43,10 @@ class _Slots(dict):
 _slots = _Slots()
 
 
+def _forget() -> None:
+    _slots.clear()
+
+
 def slots(text: str | None) -> np.ndarray:
     """Hashes of all words of the text."""
     if len(_slots) > 300_000:
@@ -93,6 +97,7 @@ def fit_membership(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)  # bounded, so it may be broadcast
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        claim("mixing", _forget)
         for batch in batches:
             rows = [slots(t).astype(np.int32) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "domain", "slots"])
@@ -115,7 +120,7 @@ def posteriors(docs: DataFrame, model: Membership) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        claim("mixing", _slots.clear)
+        claim("mixing", _forget)
         m = shared.value
         for batch in batches:
             rows = [slots(t.as_py()) for t in batch.column(1)]
@@ -212,7 +217,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, work: Workspace, targets: dict[s
     n = len(docs.columns)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        claim("mixing", _slots.clear)
+        claim("mixing", _forget)
         m = shared.value
         for batch in batches:
             if batch.num_rows:

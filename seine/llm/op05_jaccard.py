@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seine.llm.common import Workspace, input_bytes, table
+from seine.llm.common import Workspace, claim, input_bytes, table
 from seine.llm.components import components
 from seine.llm.shingles import Shingler, class_id
 
@@ -52,6 +52,10 @@ _ONE, _SIX, _LEVEL = np.uint64(1), np.uint64(6), np.uint64(58)
 BITS, WORD = 1 << 23, 64
 
 
+def _forget() -> None:
+    """Shinglers end with their tasks."""
+
+
 def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
@@ -63,6 +67,7 @@ def common_shingles(docs: DataFrame, k: int, run_of: int = 1 << 20) -> tuple[np.
     cut = 64 - bits - SHORT
 
     def runs(batches) -> Iterator[pa.RecordBatch]:
+        claim("shingles", _forget)
         sh, held, n = Shingler(k), [], 0
 
         def counted():
@@ -115,6 +120,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        claim("shingles", _forget)
         sh, (late, level, cut) = Shingler(k), shared.value
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.bool_()]
         for batch in batches:
@@ -149,6 +155,7 @@ def sets_of(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        claim("shingles", _forget)
         sh, bits = Shingler(k), shared.value
         for batch in batches:
             at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)

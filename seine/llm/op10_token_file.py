@@ -200,6 +200,10 @@ class LibraryWords(WordSplitter):
 _words: dict[str, LibraryWords] = {}
 
 
+def _forget() -> None:
+    _words.clear()
+
+
 def library(path: str) -> LibraryWords:
     if path not in _words:
         _words[path] = LibraryWords(path)
@@ -210,7 +214,7 @@ def write_token_files(docs: DataFrame, to: str, vocab: str, end_id: int = END_ID
     """Write the shards under the folder; returns the manifest (shard, uri, n_docs, n_tokens). Lazy: writing the manifest writes the shards."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        claim("ids", _words.clear)
+        claim("ids", _forget)
         encoder, end = library(vocab), np.array([end_id], np.uint32)
         first = next(batches, None)
         if first is None:
