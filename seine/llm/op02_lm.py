@@ -9,11 +9,13 @@ small whatever the corpus; all else about a word (its customers and tables in ev
    (context, document), packed. Words that are very common in a batch are aggregated first: their bucket gets counts per
    context only, and their occurrences stay in rows of their own, per word and batch.
 2. Each bucket counts customers per (word, context) over the training texts and starts with a table for each.
-3. Gibbs sweeps: a customer leaves, with its table if it sat there alone (by the ratio of generalised Stirling numbers,
-   which is exact for unlabelled tables, and by its limit for large counts), and sits down again at an old table or, in
-   proportion to the parent's probability, at a new one, which sends a customer to the parent. Buckets sweep in
-   parallel with the totals of the sweep before. A bucket's seating is not stored: it is replayed from its seed and the
-   recorded totals, so a lost task gives the same again.
+3. Gibbs sweeps: all customers of a cell (a word in a restaurant) are seated anew at once. Its number of tables is
+   drawn from its conditional distribution given all others, in proportion to a generalised Stirling number (from the
+   recurrence, or by numerical integration for large counts) and to the weights of opening tables, which have the
+   parent's probability; each table sends a customer to the parent. Sweeps start from as many tables as cells without a
+   parent would open, as totals fall to their level faster than they rise to it, and go on until the totals of tables
+   settle. Buckets sweep in parallel with the totals of the sweep before. A bucket's seating is a file in the shared
+   folder; its seed is fixed, so a task that runs again writes the same.
 4. Predictive probabilities are averaged over the last sweeps; each bucket adds up their logarithms per document, the
    rows of common words are joined with their word's table, and sums meet by batch.
 
@@ -25,6 +27,7 @@ score is that of the base alone; extra columns are left out; an empty table give
 from __future__ import annotations
 
 import io
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,13 +40,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seine.llm.common import Workspace, input_bytes, table
+from seine.llm.common import Workspace, create, input_bytes, opened, table
 
 FOLD, HELD = 7, 2
 BATCH, DOCS = 1 << 20, 30_000
 #: A word is common in a batch if it makes up this share of it.
 COMMON = 1 / 400
-SWEEPS, AVERAGED, MOVES, SMALL = 3, 2, 4, 64
+#: At least SWEEPS sweeps; totals of tables have settled when a sweep moves them by SETTLED or, if that is more, by two
+#: standard deviations of a count.
+SWEEPS, AVERAGED, SETTLED, SMALL = 3, 2, 0.01, 512
 STRENGTH = (50.0, 20.0, 5.0)  # without context, one byte, two bytes
 END_WORD = np.uint64(0x9E3779B97F4A7C15)
 LEVELS = (1, 256, 65536)
@@ -177,6 +182,14 @@ class Bucket:
         t0 = np.minimum(np.bincount(self.w_of, t1, len(self.words)), 1).astype(np.int64)
         return [t0, t1, t2]
 
+    def spread(self, discount: list[float]) -> list[np.ndarray]:
+        """Tables at which sweeps start: c^d / Gamma(1 + d), what a cell without a parent opens."""
+        out, c = [], self.count
+        for d, up, n in ((discount[2], self.q_of, len(self.q)), (discount[1], self.w_of, len(self.words)), (discount[0], None, 0)):
+            out.insert(0, np.clip(np.rint(c**d / math.gamma(1 + d)), np.minimum(c, 1), c).astype(np.int64))
+            c = np.bincount(up, out[0], n).astype(np.int64) if n else c
+        return out
+
     def customers(self, tables: list[np.ndarray]) -> list[np.ndarray]:
         return [np.bincount(self.w_of, tables[1], len(self.words)).astype(np.int64), np.bincount(self.q_of, tables[2], len(self.q)).astype(np.int64), self.count]
 
@@ -200,23 +213,16 @@ class Bucket:
         tables = list(tables)
         for level in (2, 1, 0):
             c, d = self.customers(tables)[level], totals.discount[level]
-            t = np.clip(tables[level], np.minimum(c, 1), c)  # who comes sits down at an old table; who goes may close some
+            t = np.minimum(c, 1)
             some = np.flatnonzero(c > 1)
             if len(some):
                 at = self.places()[level][some]
                 if level:
                     above = self.probabilities(tables, totals, level - 1)[-1][(self.w_of, self.q_of)[level - 1][some]]
                 else:
-                    above = 1 / (totals.types + 1)
-                new = (STRENGTH[level] + d * totals.tables[level][at]) * above
-                cs, ts = c[some], t[some]
-                small = cs <= SMALL
-                ratio = alone(d)
-                for _ in range(MOVES):
-                    p = np.where(small, ratio[np.minimum(cs, SMALL), np.minimum(ts, SMALL)], np.where(ts > 1, d * ts / cs, 0))
-                    ts = ts - (rng.random(len(ts)) < p)
-                    ts = ts + (rng.random(len(ts)) * (new + cs - 1 - d * ts) < new)
-                t[some] = ts
+                    above = np.full(len(some), 1 / (totals.types + 1))
+                others = totals.tables[level][at] - tables[level][some]
+                t[some] = seated(c[some], STRENGTH[level] / d + others, above, d, rng)
             tables[level] = t
         return tables
 
@@ -228,20 +234,101 @@ class Totals:
 
 
 @lru_cache(8)
-def alone(d: float) -> np.ndarray:
-    """[c, t]: probability that one of c customers at t tables sits alone: S(c-1, t-1) / S(c, t)."""
+def stirling(d: float) -> np.ndarray:
+    """[c, t]: logarithm of the generalised Stirling number S(c, t), the weight of all ways to seat c customers at t tables."""
     s = np.full((SMALL + 1, SMALL + 1), -np.inf)
     s[0, 0] = 0
-    out = np.zeros_like(s)
-    with np.errstate(divide="ignore", invalid="ignore"):
+    with np.errstate(divide="ignore"):
         for c in range(1, SMALL + 1):
             t = np.arange(1, c + 1)
             s[c, 1 : c + 1] = np.logaddexp(s[c - 1, t - 1], np.log(np.maximum(c - 1 - d * t, 0)) + s[c - 1, t])
-            out[c, 1 : c + 1] = np.exp(s[c - 1, t - 1] - s[c, t])
+    return s
+
+
+@lru_cache(8)
+def alone(d: float) -> np.ndarray:
+    """[c, t]: probability that one of c customers at t tables sits alone: S(c-1, t-1) / S(c, t)."""
+    s, out = stirling(d), np.zeros((SMALL + 1, SMALL + 1))
+    with np.errstate(invalid="ignore"):
+        out[1:, 1:] = np.exp(s[:-1, :-1] - s[1:, 1:])
     out[1, 1] = 1
     return np.nan_to_num(out)
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    y, below = x + 8, np.ones_like(x)
+    for i in range(8):
+        below = below * (x + i)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(below)
+
+
+@lru_cache(8)
+def _saddles(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """log c/t, ascending, and log of the saddle point (see `large`)."""
+    y = np.concatenate((np.geomspace(1e-40, 0.5, 6000), 1 - np.geomspace(0.5, 1e-12, 3000)[1:]))[::-1]
+    return np.log((1 - y) * d * y ** (d - 1) / -np.expm1(d * np.log(y))), np.log(y)
+
+
+def large(c: np.ndarray, t: np.ndarray, d: float, points: int = 40) -> np.ndarray:
+    """log S(c, t) for any count: S is c!/t! times the coefficient of x^c in ((1 - (1-x)^d) / d)^t, a contour integral. The
+    contour, with y = 1 - x, is a parabola through the saddle point, or near 0, around the cut."""
+    mid = np.maximum(np.exp(np.interp(np.log(c / t), *_saddles(d))), np.minimum(1 / c, 0.5))
+    g = (1 - mid) * d * mid ** (d - 1) / (1 - mid**d)
+    curve = t * np.abs(g * (1 + (1 - d) * (1 - mid) / mid - g))
+    top = np.minimum(4 * (1 - mid) / (mid * np.sqrt(np.maximum(curve, 1e-9))), np.sqrt(np.expm1(40 / c) / mid) + 1)
+    turn = 1 + 1j * (np.arange(points) + 0.5) / points * top[..., None]
+    y = mid[..., None] * turn**2
+    e = t[..., None] * np.log((1 - np.exp(d * np.log(y))) / d) - (c[..., None] + 1) * np.log(1 - y) + np.log(2 * mid[..., None] * turn)
+    most = e.real.max(axis=-1)
+    return np.log(np.exp(e - most[..., None]).real.sum(axis=-1) * top / points / math.pi) + most + log_gamma(c + 1) - log_gamma(t + 1)
+
+
+def seated(c: np.ndarray, base: np.ndarray, above: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of cells with c > 1 customers, drawn in proportion to S(c, t) * prod_{j<t} above * d * (base + j)."""
+    out, u, w = np.empty(len(c), np.int64), rng.random(len(c)), np.log(above * d)
+    at = 1
+    while at < SMALL:  # counts of like size together, as many columns as the largest has tables
+        band = np.flatnonzero((c > at) & (c <= (at := 2 * at)))
+        j = np.arange(at)
+        for i in np.split(band, range((1 << 19) // at, len(band), (1 << 19) // at)):
+            p = stirling(d)[c[i], 1 : at + 1] + np.cumsum(np.log(base[i, None] + j) + w[i, None], axis=1)
+            p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
+            out[i] = np.minimum(1 + (p < u[i, None] * p[:, -1:]).sum(axis=1), c[i])
+    rest = np.flatnonzero(c > SMALL)
+    for i in np.split(rest, range(256, len(rest), 256)):
+        if len(i):
+            out[i] = _seated_large(c[i].astype(float), base[i], w[i], d, u[i])
+    return out
+
+
+def _seated_large(c: np.ndarray, base: np.ndarray, w: np.ndarray, d: float, u: np.ndarray, nodes: int = 24) -> np.ndarray:
+    """The same for large counts: around the mode, with the smooth logarithm interpolated between Chebyshev nodes."""
+    log_p = lambda t, c=c, base=base, w=w: large(c + 0 * t, t, d) + t * w + log_gamma(base + t)
+
+    def rise(t):
+        """The slope of log_p past t, by the saddle point alone, which is near enough to find the mode."""
+        y = np.exp(np.interp(np.log(c / t), *_saddles(d)))
+        return np.log((1 - y**d) / d) - np.log(t + 0.5) + w + np.log(base + t)
+
+    lo, hi = np.ones(len(c)), c - 1
+    while (hi - lo > 1).any():  # the mode: the logarithm is concave
+        mid = np.floor((lo + hi) / 2)
+        up = rise(mid) > 0
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+    near = np.clip(lo, 2, c - 3)
+    wide = 10 / np.sqrt(np.maximum((rise(near - 1) - rise(near + 1)) / 2, 1e-12)) + 12
+    lo, hi = np.maximum(1, np.floor(lo - wide)), np.minimum(c, np.ceil(lo + wide))
+    x = np.cos((np.arange(nodes) + 0.5) * np.pi / nodes)
+    t = (lo + hi)[:, None] / 2 + (hi - lo)[:, None] / 2 * x
+    values = log_p(t, c[:, None], base[:, None], w[:, None])
+    fits = np.polynomial.chebyshev.chebfit(x, (values - values.max(axis=1, keepdims=True)).T, nodes - 1)
+    out = np.empty(len(c), np.int64)
+    for i, (a, b) in enumerate(zip(lo, hi)):
+        p = np.cumsum(np.exp(np.polynomial.chebyshev.chebval(np.linspace(-1, 1, int(b - a) + 1), fits[:, i])))
+        out[i] = a + min(np.searchsorted(p, u[i] * p[-1]), b - a)
+    return out
+
+
 def build_states(rows: DataFrame) -> DataFrame:
     """Step 2: rows in the order of (kind, key). STATE rows with the pairs and the occurrences of a bucket; totals and
     counts of the first seating; HOT and DOC rows as they came."""
@@ -316,23 +403,17 @@ def _bucket(data: bytes) -> Bucket:
     return Bucket(words, np.repeat(np.arange(len(words)), n) << 16 | ctx, count)
 
 
-def _seatings(key: int, b: Bucket, history: list[Totals], sweeps: int) -> Iterator[list[np.ndarray]]:
-    tables = b.start()
-    yield tables
-    for s in range(sweeps):
-        tables = b.sweep(tables, history[s], np.random.default_rng([key, s]))
-        yield tables
-
-
-def swept(states: DataFrame, history: list[Totals]) -> DataFrame:
-    """Step 3: totals after one more sweep."""
+def swept(states: DataFrame, last: Totals, s: int, seats: list[str]) -> DataFrame:
+    """Step 3: totals after sweep s (0: the start), which reads seats[s - 1] and writes seats[s]."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         totals = [np.zeros((2, n)) for n in LEVELS]
         for batch in batches:
             for key, data in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 b = _bucket(data)
-                *_, tables = _seatings(key, b, history, len(history))
+                tables = b.sweep(_seats(seats[s - 1], key), last, np.random.default_rng([key, s])) if s else b.spread(last.discount)
+                with create(f"{seats[s]}/{key}") as out:
+                    out.write(packed(*tables))
                 for level, (c, t, place) in enumerate(zip(b.customers(tables), tables, b.places())):
                     totals[level][0] += np.bincount(place, c, LEVELS[level])
                     totals[level][1] += np.bincount(place, t, LEVELS[level])
@@ -341,6 +422,17 @@ def swept(states: DataFrame, history: list[Totals]) -> DataFrame:
     return states.select("key", "data").mapInArrow(run, FIELDS)
 
 
+def _seats(path: str, key: int) -> list[np.ndarray]:
+    with opened(f"{path}/{key}") as f:
+        return unpacked(f.read())
+
+
+def settled(before: Totals, after: Totals) -> bool:
+    """Whether a sweep moved the tables of no level by more than chance or SETTLED."""
+    pairs = [(a.sum(), b.sum()) for a, b in zip(before.tables, after.tables)]
+    return all(abs(a - b) <= max(SETTLED * a, 2 * a**0.5) for a, b in pairs)
+
+
 def _sums(batch: int, docs: np.ndarray, score: np.ndarray, base: np.ndarray, known: np.ndarray) -> tuple:
     """Sums per document of a batch."""
     n = int(docs.max()) + 1 if len(docs) else 0
@@ -348,7 +440,7 @@ def _sums(batch: int, docs: np.ndarray, score: np.ndarray, base: np.ndarray, kno
     return (SUM, 0, batch, packed(some, np.bincount(docs, score, n)[some], np.bincount(docs, base, n)[some], np.bincount(docs, known, n)[some].astype(np.uint32)), None, None, None)
 
 
-def final_sums(states: DataFrame, history: list[Totals]) -> DataFrame:
+def final_sums(states: DataFrame, history: list[Totals], seats: list[str]) -> DataFrame:
     """Step 4 for the occurrences in buckets: SUM rows; and HOT rows with the tables of common words (key: word)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -356,11 +448,9 @@ def final_sums(states: DataFrame, history: list[Totals]) -> DataFrame:
             for key, data, more in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 b = _bucket(data)
                 n_occ, ref, batch_ids, hot = unpacked(more)
-                seats = list(_seatings(key, b, history[:-1], len(history) - 1))
                 p = np.zeros(len(b.pairs))
-                last = range(len(seats) - min(AVERAGED, len(seats)), len(seats))
-                for s in last:
-                    p += b.probabilities(seats[s], history[s])[2] / len(last)
+                for path, totals in zip(seats, history):
+                    p += b.probabilities(_seats(path, key), totals)[2] / len(seats)
                 p = np.log10(p)
                 c = np.bincount(b.pairs >> 16, b.count, len(b.words))
                 base, known = np.log10(c + 1), c > 0
@@ -432,7 +522,7 @@ def per_document(rows: DataFrame, tokens: float, types: float) -> DataFrame:
 
 
 def scores(docs: DataFrame, work: Workspace, sweeps: int = SWEEPS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. sweeps: how many there are at least."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     buckets = max(64, input_bytes(docs, "text") >> 24)
     parts = max(buckets // 2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -446,12 +536,15 @@ def scores(docs: DataFrame, work: Workspace, sweeps: int = SWEEPS) -> DataFrame:
     get = lambda i: counts.get(i, 0.0)
     discount = [float(np.clip(get(2 + 2 * i) / max(1.0, get(2 + 2 * i) + 2 * get(3 + 2 * i)), 0.1, 0.95)) for i in range(3)]
     base = Totals(discount, get(1))
-    history = [_gathered(of(TOTAL), base)]
-    states = of(STATE)
-    for _ in range(sweeps):
-        history.append(_gathered(swept(states, history), base))
+    history, seats, states = [_gathered(of(TOTAL), base)], [work.path("seats")], of(STATE)
+    history = [_gathered(swept(states, history[0], 0, seats), base)]
+    while len(history) <= max(sweeps, AVERAGED - 1) or not settled(*history[-2:]):
+        seats.append(work.path("seats"))
+        history.append(_gathered(swept(states, history[-1], len(history), seats), base))
+        if len(seats) > AVERAGED:
+            work.drop(seats[-1 - AVERAGED])
     found = work.path("sums")
-    final_sums(states, history).write.partitionBy("kind").parquet(found)
+    final_sums(states, history[-AVERAGED:], seats[-AVERAGED:]).write.partitionBy("kind").parquet(found)
     sums = work.spark.read.schema(FIELDS).parquet(found)
     hot = hot_sums(of(HOT), sums.where(F.col("kind") == HOT))
     cols = ["kind", "batch", "data"]
