@@ -2,7 +2,7 @@
 
 The reader checks each record: the gzip member's checksum, the version line, the lengths, the closing blank lines and
 the payload digest. Where a check fails it looks for the next place that holds a valid record (a gzip member that
-starts with a version line, or a version line at a line's start), goes on from there, and logs the bytes between as a
+starts with a version line, or a version line at a line's start; both are searched for everywhere), goes on from there, and logs the bytes between as a
 gap row. A record that is whole but whose digest is wrong is logged as a gap too, and the reader goes on behind it.
 
 Writing: digests of payloads that occur more than once are counted first (with partial sums, so one very common
@@ -125,10 +125,11 @@ def unzipped(data: memoryview, at: int, step: int = 1 << 15) -> tuple[bytes, int
 
 def salvaged(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
     """(start, end, record or the reason of a gap), in order and without overlap, over all bytes of an archive."""
-    at, view, zipped = 0, memoryview(data), data[:2] == b"\x1f\x8b" or b"\x1f\x8b\x08" in data[:1 << 16] and not _VERSION_LINE.match(data)
+    at, view = 0, memoryview(data)
+    ahead = {"member": -1, "line": -1}  # the next places found so far; searched again only when passed
 
     def one(at: int) -> tuple[int, dict]:
-        if not zipped:
+        if data[at : at + 2] != b"\x1f\x8b":
             rec, end = parsed(data, at)
             return end, rec
         text, end = unzipped(view, at)
@@ -147,6 +148,24 @@ def salvaged(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
             return False
         return True
 
+    def member_from(at: int) -> int:
+        while (at := data.find(b"\x1f\x8b\x08", at)) >= 0:
+            try:  # the first bytes of a member tell; the whole member is checked in its turn
+                if zlib.decompressobj(31).decompress(view[at : at + 1024], 10).startswith(b"WARC/1."):
+                    return at
+            except zlib.error:
+                pass
+            at += 1
+        return len(data)
+
+    def line_from(at: int) -> int:
+        while m := _VERSION_LINE.search(data, at):
+            at = m.start()
+            if data[at - 1 : at] == b"\n" or valid(at):
+                return at
+            at += 1
+        return len(data)
+
     while at < len(data):
         try:
             end, rec = one(at)
@@ -159,26 +178,11 @@ def salvaged(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
             yield at, int(past), why
             at = int(past)
             continue
-        start, nxt = at, at + 1
-        while True:
-            if zipped:
-                nxt = data.find(b"\x1f\x8b\x08", nxt)
-            else:
-                m = _VERSION_LINE.search(data, nxt)
-                nxt = m.start() if m else -1
-            if nxt < 0:
-                nxt = len(data)
-                break
-            if zipped:
-                try:  # the first bytes of a member tell; the whole member is checked in its turn
-                    if zlib.decompressobj(31).decompress(view[nxt : nxt + 1024], 10).startswith(b"WARC/1."):
-                        break
-                except zlib.error:
-                    pass
-            elif data[nxt - 1 : nxt] == b"\n" or valid(nxt):
-                break
-            nxt += 1
-        yield start, nxt, why
+        for kind, search in (("member", member_from), ("line", line_from)):
+            if ahead[kind] <= at:
+                ahead[kind] = search(at + 1)
+        nxt = min(ahead.values())
+        yield at, nxt, why
         at = nxt
 
 
