@@ -18,6 +18,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with a number behind it if a column of the frame has it already (in either case)."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        own, n = f"seine_{name}", 0
+        while own in have:
+            own, n = f"seine_{name}_{n}", n + 1
+        have.add(own)
+        out.append(own)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

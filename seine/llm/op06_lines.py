@@ -1,26 +1,29 @@
 """Line dedup over a suffix array of line ids, in DataFrame functions alone.
 
-All lines of all texts form one sequence of line ids, in the order of (doc_id, text hash, line). Prefix doubling gives
-each position a class for each power of two: positions have the same class at level k if the next 2**k lines are the
-same. A class is named by its first position, so a class also tells where its run occurs first. Level k + 1 comes from
-the pairs (class of the position, class of the position 2**k further); a position whose class has no second member
-leaves, as nothing longer repeats there. The levels sort the suffixes, and two suffixes have a common prefix of n lines
-or more exactly if they share the classes of the two overlapping runs of 2**k <= n lines that cover it: such a class is
-an interval of the suffix array whose longest common prefix has n lines or more.
-
-A run of lines is deleted where it has occurred before, if it has at least `min_words` words. Each maximal repeated run
-is the union of its shortest windows with that many words, seen from each of its lines on and back; a window is a later
-copy if its interval has an earlier position. A line has a word at least, so windows have at most `min_words` lines,
-and doubling stops at the level that covers them: longer intervals lie within those.
+All lines of all texts that are not blank form one sequence of line ids, in the order of (doc_id, text hash, line).
+Prefix doubling gives each position a class for each power of two: positions have the same class at level k if the next
+2**k lines are the same. A class is named by its first position, so a class also tells where its run occurs first. Level
+k + 1 comes from the pairs (class of the position, class of the position 2**k further); a position whose class has no
+second member leaves, as nothing longer repeats there. The levels sort the suffixes, and two suffixes have a common
+prefix of n lines or more exactly if they share the classes of the two overlapping runs of 2**k <= n lines that cover
+it: such a class is an interval of the suffix array whose longest common prefix has n lines or more.
+
+A run of lines is deleted where it has occurred before, if it has at least `min_words` words. A maximal repeated run is
+the union of its shortest windows with that many words, seen from each of its lines on and back; a window is a later
+copy if its interval has an earlier position. A line has a word at least, so windows have at most `min_words` lines, and
+what the suffix array would tell beyond that many lines decides nothing: doubling stops at the level that covers them
+(the tests hold the result against a whole suffix array with its longest common prefixes, and the SQL finds maximal
+repeated runs by extending matches).
 
 Common lines are no hot groups: counts and minima have partial sums, and the joins back are between written tables,
-which adaptive execution may split. Only positions of lines that repeat take part after the first count.
-
-Defined results: lines end at line feeds and are compared without white space at their ends; blank lines break runs and
-are never deleted by themselves; a null text stays null and has no lines; a text that lost a line and has nothing but
-blank lines left is dropped (drop_empty) or comes back empty; rows with a null doc_id come first in order; rows with
-equal doc_id come in the order of a hash of their texts, and rows equal in both share one fate; extra columns are
-kept; an empty table gives no rows.
+which adaptive execution may split. Only positions of lines that repeat take part after the first count. The texts meet
+their deletions in one plan at every size: an exchange, which no threshold turns into a broadcast.
+
+Defined results: lines end at line feeds and are compared without white space at their ends; blank lines are no part of
+runs, which go on across them, and are never deleted; a null text stays null and has no lines; a text that lost a line
+and has nothing but blank lines left is dropped (drop_empty) or comes back with those; rows with a null doc_id come
+first in order; rows with equal doc_id come in the order of a hash of their texts, and rows equal in both share one
+fate; extra columns are kept whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,17 +31,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seine.llm.common import Workspace, table
+from seine.llm.common import Workspace, free_names, table
 
 MIN_WORDS = 10
 SPACE = r"\x20\x09-\x0D"
+#: The same for btrim.
+ENDS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, t (hash of the text), l (line number), h1, h2 (the line), w (its words): a row per line that is not blank."""
+    """doc_id, t (hash of the text), l (number of the line among those that are not blank), h1, h2 (the line), w (its words)."""
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("text is not null")
-    rows = text.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("l", "line"))
-    rows = rows.withColumn("line", F.regexp_replace("line", f"^[{SPACE}]+|[{SPACE}]+$", "")).where("line <> ''")
+    full = F.expr(f"filter(transform(split(text, '\\n'), x -> btrim(x, {ENDS})), x -> x <> '')")
+    rows = text.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(full).alias("l", "line"))
     return rows.select("doc_id", "t", "l", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.size(F.split("line", f"[{SPACE}]+")).alias("w"))
 
 
@@ -95,50 +100,46 @@ def copies(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS) -> Data
     return work.write(hit.groupBy("r").agg(F.collect_set("l").alias("gone")), "gone")
 
 
-def marked(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with lines_ (all lines), gone_ (numbers of deleted lines, null if none) and text_ (what is left of the text)."""
-    gone = copies(docs, work, min_words)
-    key = F.xxhash64(docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string")))
-    rows = docs.withColumn("r_", key).join(gone.select(F.col("r").alias("r_"), F.col("gone").alias("gone_")), "r_", "left").drop("r_")
-    rows = rows.withColumn("lines_", F.split(F.col("text").cast("string"), "\n"))
-    left = F.expr("array_join(transform(array_except(sequence(0, size(lines_) - 1), gone_), i -> lines_[i]), '\n')")
-    return rows.withColumn("text_", F.when(F.col("gone_").isNull(), F.col("text")).otherwise(left))
+def marked(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS) -> tuple[DataFrame, list[str]]:
+    """docs with three more columns and their names: all lines, the numbers of deleted lines (null if none) and what is
+    left of the text."""
+    key, lines, gone, text = free_names(docs, "row", "lines", "gone", "left")
+    found = copies(docs, work, min_words).select(F.col("r").alias(key), F.col("gone").alias(gone))
+    rows = docs.withColumn(key, F.xxhash64(docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))))
+    rows = rows.join(found.hint("merge"), key, "left").drop(key).withColumn(lines, F.split(F.col("text").cast("string"), "\n"))
+    full = f"filter(transform(`{lines}`, (x, i) -> if(btrim(x, {ENDS}) <> '', i, -1)), i -> i >= 0)"
+    rows = rows.withColumn(gone, F.expr(f"if(`{gone}` is null, null, filter({full}, (i, m) -> array_contains(`{gone}`, m)))"))
+    left = F.expr(f"array_join(transform(array_except(sequence(0, size(`{lines}`) - 1), `{gone}`), i -> element_at(`{lines}`, i + 1)), '\n')")
+    return rows.withColumn(text, F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)), [lines, gone, text]
 
 
 def without_copies(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS, drop_empty: bool = True) -> DataFrame:
     """The documents without later copies of runs of lines; the same columns, in the same order."""
-    rows = marked(docs, work, min_words)
+    rows, (_, gone, text) = marked(docs, work, min_words)
     if drop_empty:
-        rows = rows.where(F.col("gone_").isNull() | F.col("text_").rlike(f"[^{SPACE}]"))
-    return rows.select(*(F.col("text_").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+        rows = rows.where(F.col(gone).isNull() | F.col(text).rlike(f"[^{SPACE}]"))
+    return rows.select(*(F.col(text).alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = marked(table(spark, sf_dir, "documents"), Workspace(spark, "op6"))
-    n = F.coalesce(F.size("gone_"), F.lit(0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows, (lines, gone, text) = marked(docs, Workspace(spark, "op6"))
+    left = F.coalesce(text, F.lit(""))
     return rows.select(
-        "doc_id", F.coalesce(F.size("lines_"), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone_").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_deleted"),
-        F.octet_length(F.coalesce("text_", F.lit(""))).cast("long").alias("bytes_left"), F.sha2(F.encode(F.coalesce("text_", F.lit("")), "utf-8"), 256).alias("left_sha256"),
+        "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_deleted"),
+        F.octet_length(left).cast("long").alias("bytes_left"), F.sha2(F.encode(left, "utf-8"), 256).alias("left_sha256"),
     )
 
 
-def _sql(w: int) -> str:
-    """The same by windows of whole lines, compared as strings."""
-    parts = []
-    for n in range(1, w + 1):
-        parts.append(
-            f"SELECT doc_id, l, {n} AS n, string_agg(line, chr(10)) OVER x AS run, sum(w) OVER x AS s, sum(w) OVER y AS f, sum(w) OVER z AS b, max(l) OVER x - l AS d FROM words "
-            f"WINDOW x AS (PARTITION BY doc_id ORDER BY l ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING), y AS (PARTITION BY doc_id ORDER BY l ROWS BETWEEN CURRENT ROW AND {n - 2} FOLLOWING), z AS (PARTITION BY doc_id ORDER BY l ROWS BETWEEN 1 FOLLOWING AND {n - 1} FOLLOWING)"
-            if n > 1
-            else "SELECT doc_id, l, 1 AS n, line AS run, w AS s, 0 AS f, 0 AS b, 0 AS d FROM words"
-        )
-    return f"""
+#: Every pair of equal lines extended to its maximal run: pairs of two texts at one distance that follow each other.
+_SQL = rf"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS l FROM documents WHERE text IS NOT NULL),
-words AS (SELECT doc_id, l, line, len(string_split_regex(line, '[\\x20\\x09-\\x0D]+')) AS w
-          FROM (SELECT doc_id, l, regexp_replace(raw, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS line FROM lines) WHERE line <> ''),
-spans AS (SELECT * FROM ({" UNION ALL ".join(parts)}) WHERE s >= {w} AND d = n - 1 AND (coalesce(f, 0) < {w} OR coalesce(b, 0) < {w})),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, l) AS k FROM spans),
-gone AS (SELECT DISTINCT doc_id, unnest(range(l, l + n)) AS l FROM ranked WHERE k > 1),
+words AS (SELECT doc_id, l, line, row_number() OVER (PARTITION BY doc_id ORDER BY l) AS m, len(string_split_regex(line, '[\x20\x09-\x0D]+')) AS w
+          FROM (SELECT doc_id, l, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM lines) WHERE line <> ''),
+pairs AS (SELECT a.doc_id AS d, b.doc_id, b.l, b.m, b.w, b.m - a.m AS apart FROM words a JOIN words b ON a.line = b.line AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.m < b.m))),
+runs AS (SELECT *, m - row_number() OVER (PARTITION BY d, doc_id, apart ORDER BY m) AS run FROM pairs),
+sized AS (SELECT doc_id, l, sum(w) OVER (PARTITION BY d, doc_id, apart, run) AS s FROM runs),
+gone AS (SELECT DISTINCT doc_id, l FROM sized WHERE s >= {MIN_WORDS}),
 kept AS (SELECT doc_id, count(*) AS n_lines, count(gone.l) AS n_deleted, coalesce(string_agg(raw, chr(10) ORDER BY lines.l) FILTER (WHERE gone.l IS NULL), '') AS left_text
          FROM lines LEFT JOIN gone USING (doc_id, l) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, strlen(coalesce(left_text, '')) AS bytes_left, sha256(coalesce(left_text, '')) AS left_sha256
@@ -147,4 +148,4 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 
 
 QUERIES = {"op6_lines": op6_lines}
-SQL = {"op6_lines": _sql(MIN_WORDS)}
+SQL = {"op6_lines": _SQL}
