@@ -74,14 +74,15 @@ class Workspace:
 _memos: dict = {}
 
 
-def claim(name: str, forget) -> None:
+def claim(name: str, forget=None) -> None:
     """For Python workers, which Spark uses again for other operators: the memos of all but the named one are emptied.
 
-    `forget` is a function of its module. A method of a memo would not do: a nested function goes to the workers with
-    copies of the objects it names, and the copy would be emptied."""
+    `forget` is a function of its module, or None for operators whose memos end with their tasks. A method of a memo would
+    not do: a nested function goes to the workers with copies of the objects it names, and the copy would be emptied."""
     if name not in _memos:
         for clear in _memos.values():
-            clear()
+            if clear:
+                clear()
         _memos.clear()
         _memos[name] = forget
         release()

@@ -7,23 +7,25 @@ Links are pairs of texts whose sets of word shingles have 100 * |intersection| >
    same links, this one makes prefixes rare.
 2. Texts with equal sets form a class; from here on a class is one member (`cid` names it).
 3. Prefix: with n tokens and n - ceil(t n) + 1 of them, two linked sets share a token; with one more they share two
-   (k = 2). A token that few prefixes hold is indexed alone. For a common one pairs of common tokens are indexed.
+   (k = 2). A token that few prefixes hold (rare) is indexed alone. Common ones are indexed in pairs.
    If two linked sets share a rare token, they meet there; if all they share are common, they share two of them.
-4. First each member of a token's list is compared with one member alone, that with the fewest tokens of its own, so the
-   middle of a group of near copies. What links this finds joins large groups, whose members need no further comparison
-   with each other: components of links are the result, and a link inside a component adds nothing to it.
-5. Then members of different components that still meet, under a rare token or a pair of common ones, are compared if
-   their sizes allow a link without the tokens that no other prefix holds: where the other's prefix reaches beyond the
-   tokens without a level, it lacks all such tokens of this one. No list is gathered in one place; joins stream and
+4. The index first has the rare tokens and those pairs of common tokens that are neighbours in a prefix, so it is no
+   larger than the prefixes. Each member of a list is compared with one member alone, that with the fewest tokens of its
+   own, so the middle of a group of near copies. What links this finds joins large groups, whose members need no further
+   comparison with each other: components of links are the result, and a link inside a component adds nothing to it.
+5. Then members of different components that still meet, under a rare token or any pair of common ones, are compared
+   if their sizes allow a link without the tokens that no other prefix holds: where the other's prefix reaches beyond
+   the tokens without a level, it lacks all such tokens of this one. No list is gathered in one place; joins stream and
    adaptive execution splits them.
 6. A pair is dropped early only if its prefixes prove that it cannot link: up to the smaller of their last tokens both
    sets are known, and what is left of the smaller set bounds what else they can share. All other pairs are compared
-   on whole sets of 64-bit shingle hashes, made again from the whole texts. A bitmap of fixed size tells most texts
-   that no pair needs, before any text is shuffled.
+   on whole sets of 64-bit shingle hashes, made again from the whole texts. A bitmap (16 bits a wanted text, at most
+   MOST_BITS) tells most texts that no pair needs before any text is shuffled; a join tells the rest.
 
-Defined results: a null or blank text has no shingles and links with nothing; so does a row of its own class; rows with
-a null doc_id link nothing, but get the component of rows with the same set; a doc_id that repeats joins nothing by itself, and its
-rows each get the smallest id of what they link with; extra columns are left out; an empty table gives no rows.
+Defined results: a null or blank text has no shingles and links with nothing; a row with a null doc_id belongs to its
+class like any other but gives no component its id, so a component of such rows alone has a null component_id; a doc_id
+that repeats joins nothing by itself, and its rows each get the smallest id of what they link with; extra columns are
+left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seine.llm.common import Workspace, claim, input_bytes, table
+from seine.llm.common import Workspace, claim, free_names, input_bytes, table
 from seine.llm.components import components
 from seine.llm.shingles import Shingler, class_id
 
@@ -47,13 +50,11 @@ SHORT = 32
 FREQUENT = 64
 
 
+#: Stands for a null doc_id, after all others.
+NO_ID = (1 << 63) - 1
 _ONE, _SIX, _LEVEL = np.uint64(1), np.uint64(6), np.uint64(58)
-#: Bits of the bitmap that spares texts a shuffle, and bits in a word of it.
-BITS, WORD = 1 << 23, 64
-
-
-def _forget() -> None:
-    """Shinglers end with their tasks."""
+#: Bits of the bitmap that spares texts a shuffle, for a wanted text and at most; and bits in a word of it.
+BITS_EACH, MOST_BITS, WORD = 16, 1 << 27, 64
 
 
 def _ids(docs: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def common_shingles(docs: DataFrame, k: int, run_of: int = 1 << 20) -> tuple[np.
     cut = 64 - bits - SHORT
 
     def runs(batches) -> Iterator[pa.RecordBatch]:
-        claim("shingles", _forget)
+        claim("shingles")
         sh, held, n = Shingler(k), [], 0
 
         def counted():
@@ -120,7 +121,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        claim("shingles", _forget)
+        claim("shingles")
         sh, (late, level, cut) = Shingler(k), shared.value
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.bool_()]
         for batch in batches:
@@ -146,27 +147,27 @@ def prefixes(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np
 
 
 def sets_of(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """doc_id, cid and whole set (ascending hashes as bytes) of the rows whose doc_id is in the bitmap of `wanted` (doc_id)."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    """cid and whole set (ascending hashes as bytes) of the rows whose doc_id is in the bitmap of `wanted` (doc_id)."""
+    size = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * wanted.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(size))
     words = wanted.select(F.floor(bit / WORD).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {WORD}) as int))").alias("v"))
-    rows = words.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()  # at most BITS / WORD rows
-    bitmap = np.zeros(BITS // WORD, np.uint64)
+    rows = words.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()  # at most MOST_BITS / WORD rows
+    bitmap = np.zeros(size // WORD, np.uint64)
     bitmap[rows.column("w").to_numpy()] = rows.column("v").to_numpy().view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        claim("shingles", _forget)
+        claim("shingles")
         sh, bits = Shingler(k), shared.value
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
+            at = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
             there = (bits[at // np.uint64(WORD)] >> (at % np.uint64(WORD))) & _ONE
             batch = batch.filter(pa.array(there.astype(bool)))
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [sh.set(t.as_py()) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "cid", "tokens"])
+                sets = [s for t in batch.column(0).slice(at, 500) if len(s := sh.set(t.as_py()))]
+                yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "tokens"])
 
-    return docs.select("doc_id", "text", bit.alias("bit")).mapInArrow(run, "doc_id long, cid long, tokens binary")
+    return docs.select("text", bit.alias("bit")).mapInArrow(run, "cid long, tokens binary")
 
 
 def hopeful(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -204,11 +205,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, work: Workspace, k: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
-    docs = _ids(docs)
+def _classes(docs: DataFrame, work: Workspace, k: int, percent: int, frequent: int) -> tuple[DataFrame, DataFrame]:
+    """Written rows (doc_id, n_shingles, cid) and classes (cid, first_id: its smallest doc_id or null, label: the class
+    that names the component)."""
     rows = work.write(prefixes(docs, k, percent, common_shingles(docs, k)), "prefixes")
-    one = rows.where("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("prefix", "plain", "deep")))
+    one = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("prefix", "plain", "deep")))
     classes = work.write(one, "classes")
     member = classes.select("cid", "n", F.explode("prefix").alias("token"))
     lists = work.write(member.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "lists")
@@ -217,7 +218,6 @@ def near_duplicates(docs: DataFrame, work: Workspace, k: int = 5, percent: int =
     held = met.where("shiftrightunsigned(token, 58) = 0").groupBy("cid").agg(F.count("*").alias("held"))
     own = work.write(classes.select("cid", "plain", "deep").join(held, "cid", "left").select("cid", (F.col("plain") - F.coalesce("held", F.lit(0))).alias("alone"), "deep"), "own")
     known = work.write(met.join(own, "cid"), "known")
-    heads = work.write(known.groupBy("token").agg(F.min(F.struct("alone", "cid", "n", "deep")).alias("y")), "heads")
     work.drop(met, lists, own)
 
     def may(x: str, y: str):
@@ -227,51 +227,101 @@ def near_duplicates(docs: DataFrame, work: Workspace, k: int = 5, percent: int =
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = work.write(hopeful(pairs, classes, percent), "hopeful")
         sides = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-        want = work.write(rows.join(sides, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "want")
-        near_texts = sets_of(docs, k, want).join(want, ["doc_id", "cid"], "left_semi")
-        sets = work.write(near_texts.dropDuplicates(["cid"]), "sets")
+        want = work.write(classes.select("cid", F.col("first_id").alias("doc_id")).join(sides, "cid", "left_semi"), "want")
+        sets = work.write(sets_of(docs, k, want).join(want, "cid", "left_semi").dropDuplicates(["cid"]), "sets")
         found = work.write(verified(pairs, sets, percent), "found")
         work.drop(want, sets)
         return found
 
-    # 4. each list's member with the fewest tokens of its own against the others
-    stars = known.alias("x").join(heads, "token").where("x.cid <> y.cid").where(may("x", "y"))
+    # 4. the index, and each list's member with the fewest tokens of its own against the others
+    next_ = F.lead("token").over(Window.partitionBy("cid").orderBy("token"))
+    of = ["cid", "n", "alone", "deep"]
+    alone = known.where(F.col("m") <= frequent).select(F.col("token").alias("t1"), F.col("token").alias("t2"), *of)
+    paired = known.where(F.col("m") > frequent).select(F.col("token").alias("t1"), next_.alias("t2"), *of).where("t2 is not null")
+    index = work.write(alone.union(paired), "index")
+    heads = work.write(index.groupBy("t1", "t2").agg(F.min(F.struct("alone", "cid", "n", "deep")).alias("y"), F.count("*").alias("size")).where("size > 1").drop("size"), "heads")
+    stars = index.alias("x").join(heads, ["t1", "t2"]).where("x.cid <> y.cid").where(may("x", "y"))
     pairs = work.write(stars.select(F.col("y.cid").alias("a"), F.col("x.cid").alias("b")).distinct(), "stars")
     links = linked(pairs)
     labels = components(work, links)
+    work.drop(index, heads)
 
     # 5. members of different components that meet
     named = work.write(known.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "named")
-    work.drop(known, heads)
+    work.drop(known)
     mixed = work.write(named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"), "mixed")
     left = work.write(named.join(mixed, "token"), "left")
     work.drop(named, mixed)
 
-    def meetings(index: DataFrame, keys: list[str], *first) -> DataFrame:
+    def meetings(index: DataFrame, keys: list[str]) -> DataFrame:
         x, y = index.alias("x"), index.alias("y")
         same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys]
-        return x.join(y, [*same, F.col("x.cid") < F.col("y.cid"), F.col("x.label") != F.col("y.label"), may("x", "y"), *first]).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+        return x.join(y, [*same, F.col("x.cid") < F.col("y.cid"), F.col("x.label") != F.col("y.label"), may("x", "y")]).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
 
     rare = meetings(left.where(F.col("m") <= frequent), ["token"])
     of = ["cid", "n", "label", "alone", "deep"]
-    common = left.where(F.col("m") > frequent).groupBy(*of).agg(F.array_sort(F.collect_list("token")).alias("t"))
-    combined = common.select(*of, "t", F.posexplode("t").alias("i", "t1")).select(*of, "t", "i", "t1", F.posexplode(F.expr("slice(t, i + 2, size(t))")).alias("j", "t2"))
-    # two classes meet once: under the first two common tokens that they share
-    first = F.expr("not arrays_overlap(slice(x.t, 1, x.i), slice(y.t, 1, y.i)) and not arrays_overlap(slice(x.t, x.i + 2, x.j), slice(y.t, y.i + 2, y.j))")
-    more = rare.union(meetings(work.write(combined, "combined"), ["t1", "t2"], first)).distinct()
+    common = left.where(F.col("m") > frequent).groupBy(*of).agg(F.array_sort(F.collect_list("token")).alias("t")).where("size(t) > 1")
+    combined = common.select(*of, F.explode(F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(x as t1, y as t2))))")).alias("both")).select(*of, "both.t1", "both.t2")
+    # lists that lie in one component alone make no meeting
+    kept = work.write(combined.groupBy("t1", "t2").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("t1", "t2"), "kept")
+    more = rare.union(meetings(work.write(combined.join(kept, ["t1", "t2"]), "combined"), ["t1", "t2"])).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = work.write(more.join(done, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         labels = components(work, links.union(linked(rest)))
+    out = classes.select("cid", "first_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first_id", F.coalesce("label", "cid").alias("label"))
+    return rows.select("doc_id", "n_shingles", "cid"), work.write(out, "leads")
+
+
+def _parted(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """Rows with what their class has; those without a class take no part in the join, where their null would be hot."""
+    none = rows.where("cid is null").select("*", *(F.lit(None).cast(t).alias(c) for c, t in of.dtypes if c != "cid"))
+    return rows.where("cid is not null").join(of, "cid").select(none.columns).union(none)
+
+
+def near_duplicates(docs: DataFrame, work: Workspace, k: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
+    rows, leads = _classes(_ids(docs), work, k, percent, frequent)
+    least = work.write(leads.groupBy("label").agg(F.min("first_id").alias("component_id")), "least")
+    of = work.write(leads.join(least, "label").select("cid", "component_id"), "component_of")
+    return _parted(rows, of).select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, work: Workspace, k: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
+    """The rows of docs without near copies: of each component one row stays, that with the smallest doc_id (nulls last);
+    if several rows have it, one whose set has the smallest class id, and of rows equal in id and text one. Rows without
+    shingles link with nothing and all stay. The columns of docs, whatever their names."""
+    text = _ids(docs)
+    _, leads = _classes(text, work, k, percent, frequent)
+    first = F.struct(F.coalesce("first_id", F.lit(NO_ID)).alias("at"), "first_id", "cid")
+    lead = leads.groupBy("label").agg(F.min(first).alias("x")).select("x.cid", F.col("x.first_id").alias("first_id"))
+    lead = work.write(lead, "kept_classes")
+    # the set's class is worked out again beside the row, so rows meet what stays by class and id: no copies meet in a task
+    cid, at, turn = free_names(docs, "class", "at", "turn")
+    rows = with_class(docs, cid, k)
+    none, some = rows.where(F.col(cid).isNull()), rows.where(F.col(cid).isNotNull())
+    some = some.withColumn(at, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    kept = some.join(lead.select(F.col("cid").alias(cid), F.coalesce("first_id", F.lit(NO_ID)).alias(at)).hint("merge"), [cid, at])
+    order = Window.partitionBy(cid, at).orderBy(F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns)))
+    kept = kept.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1)
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*cols).union(none.select(*cols))
+
+
+def with_class(docs: DataFrame, name: str, k: int) -> DataFrame:
+    """docs with one more column: the id of the text's set of shingles, null without shingles."""
+    n = len(docs.columns)
+    out = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        claim("shingles")
+        sh = Shingler(k)
+        for batch in batches:
+            ids = [class_id(s) if len(s := sh.set(t.as_py())) else None for t in batch.column(n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(ids, pa.int64())], out.names)
 
-    # results
-    lead = classes.select("cid", "first_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first_id", F.coalesce("label", "cid").alias("label"))
-    lead = work.write(lead, "leads")
-    least = work.write(lead.groupBy("label").agg(F.min("first_id").alias("component_id")), "least")
-    of = work.write(lead.join(least, "label").select("cid", "component_id"), "component_of")
-    # a row without shingles gets a key of its own, so that no key is hot
-    out = rows.select("doc_id", "n_shingles", "cid").join(of, "cid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    (view,) = free_names(docs, "view")
+    return docs.select("*", docs["text"].cast("string").alias(view)).mapInArrow(run, out)
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
