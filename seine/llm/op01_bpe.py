@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from seine.llm.common import claim, table
 from seine.llm.wordsplit import END, WordSplitter, byte_chars
 
+#: What an entry of a memo counts besides its characters and ids, and the most pairs of tokens that are remembered.
+ENTRY, STANDS = 40, 300_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -69,7 +71,7 @@ class TrieBpe(WordSplitter):
         key = (before << 20) ^ token
         known = self.stands.get(key)
         if known is None:
-            if len(self.stands) > 1_000_000:
+            if len(self.stands) > STANDS:
                 self.stands.clear()
             known = self.stands[key] = (self.merged(self.symbols(token)) == [token]) if before < 0 else (self.merged(self.symbols(before) + self.symbols(token)) == [before, token])
         return known
@@ -119,30 +121,38 @@ class TrieBpe(WordSplitter):
 
 
 class Memo(TrieBpe):
-    """Packed ids and decoded string of each run of characters met, for whole batches of texts."""
+    """Packed ids and decoded string of each run of characters met, for whole batches of texts. There are two generations:
+    when the young one holds `most` characters and ids, it becomes the old one, and of that those stay that are met again."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 6 << 20):
         super().__init__(path)
         self.most = most
         self.forget()
 
     def forget(self) -> None:
-        special = {s: [i] for s, i in self.added.items()}
-        self.packed = {s: np.array(ids, "<u4").tobytes() for s, ids in special.items()}
-        self.shown = {s: self.decode(ids) for s, ids in special.items()}
-
-    def learn(self, rows: list[list[str]]) -> None:
-        new = set().union(*rows).difference(self.packed) if rows else ()
-        if len(self.packed) + len(new) > self.most:
-            self.forget()
-            new = set().union(*rows).difference(self.packed)
+        self.special = {s: (struct.pack("<I", i), self.decode([i])) for s, i in self.added.items()}
+        self.young, self.old, self.size = dict(self.special), {}, 0
+
+    def learn(self, rows: list[list[str]]) -> dict[str, tuple[bytes, str]]:
+        """What is known of all runs of the rows."""
+        if self.size > self.most:
+            self.young, self.old, self.size = dict(self.special), self.young, 0
+        young, old = self.young, self.old
+        new = []
+        for c in set().union(*rows).difference(young):
+            if known := old.get(c):
+                young[c] = known
+                self.size += len(c) + ENTRY
+            else:
+                new.append(c)
         cut = {c: self.pieces(c.removeprefix("\n")) for c in new}
         ids = dict(self.encode_words(set().union(*cut.values())))
         pack, names = struct.pack, self.names
         for chunk, words in cut.items():
             row = ids[words[0]] if len(words) == 1 else [i for w in words for i in ids[w]]
-            self.packed[chunk] = pack(f"<{len(row)}I", *row)
-            self.shown[chunk] = " ".join([names[i] for i in row])
+            young[chunk] = pack(f"<{len(row)}I", *row), " ".join([names[i] for i in row])
+            self.size += 2 * len(chunk) + 6 * len(row) + ENTRY
+        return young
 
 
 _memos: dict[str, Memo] = {}
@@ -158,7 +168,7 @@ def memo(path: str) -> Memo:
     return _memos[path]
 
 
-def groups(texts: list[str | None], chars: int = 4 << 20) -> Iterator[list[str]]:
+def groups(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of texts of bounded total length, nulls as empty texts."""
     run, n = [], 0
     for t in texts:
@@ -181,10 +191,11 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             keys, out, at = batch.column(0), [], 0
             for texts in groups(batch.column(1).to_pylist()):
                 rows = [m.chunks(t) for t in texts]
-                m.learn(rows)
+                known = m.learn(rows).__getitem__
                 for row in rows:
-                    ids = b"".join(map(m.packed.__getitem__, row))
-                    shown = " ".join(map(m.shown.__getitem__, row))
+                    both = [known(c) for c in row]
+                    ids = b"".join([x for x, _ in both])
+                    shown = " ".join([x for _, x in both])
                     out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(shown.encode()).hexdigest(), ids if keep_ids else None))
                 n = len(out)
                 cols = list(zip(*out))
