@@ -9,7 +9,9 @@ block's offset. A file (shard) holds
     footer   block offsets u64[], document ids i64[], whether the id is not null u8[], first token of each document u64[]
     trailer  footer offset u64, blocks u64, documents u64, tokens u64, crc32 of the footer u32, magic 8 bytes
 
-Documents are dealt by ranges of doc_id, so shards follow each other in ascending order; a manifest has a row per shard.
+Documents are dealt by ranges of doc_id, and a task begins a new shard when one has SHARD ids or documents enough, so a
+shard and its footer have bounded size at any number of partitions (a single longer document gets a shard of its own
+length). Shards follow each other in ascending order; a manifest has a row per shard.
 Files are written under another name and renamed, so a task that runs again leaves the same whole file.
 
 Defined results: a null text counts as the empty text and gets the end id alone; a row whose doc_id is null comes
@@ -38,6 +40,8 @@ HEADER = struct.Struct("<8sIIII")
 TRAILER = struct.Struct("<QQQQI8s")
 BLOCK = 1 << 16
 END_ID = 2
+#: Ids, and documents, from which on a shard ends.
+SHARD, SHARD_DOCS = 1 << 26, 1 << 20
 
 
 def width_of(vocab_size: int) -> int:
@@ -155,7 +159,7 @@ class LibraryWords(WordSplitter):
     New runs go to the library in lines, a run's pieces apart, and are told by the pieces' ends in the ids. A text whose
     normal form changes when it is normalised again goes to the library whole."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 300_000):
         super().__init__(path)
         from tokenizers import Tokenizer
 
@@ -167,6 +171,7 @@ class LibraryWords(WordSplitter):
         self.ends[[i for s, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if s.endswith(END)]] = True
         self.most = most
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # a generation of at most about `most` runs, of which those stay that are met again
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -188,11 +193,15 @@ class LibraryWords(WordSplitter):
     def packed(self, texts: list[str]) -> list[bytes]:
         rows = [self.chunks(t) if t.isascii() or unicodedata.is_normalized("NFC", self.normal(t)) else None for t in texts]
         used = [r for r in rows if r is not None]
-        new = set().union(*used).difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = set().union(*used)
-        self.learn(list(new))
+        if len(self.known) > self.most:
+            self.known, self.old = {}, self.known
+        new = []
+        for c in set().union(*used).difference(self.known):
+            if c in self.old:
+                self.known[c] = self.old[c]
+            else:
+                new.append(c)
+        self.learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, r)) if r is not None else self.whole([t])[0] for r, t in zip(rows, texts)]
 
@@ -210,33 +219,38 @@ def library(path: str) -> LibraryWords:
     return _words[path]
 
 
-def write_token_files(docs: DataFrame, to: str, vocab: str, end_id: int = END_ID) -> DataFrame:
+def write_token_files(docs: DataFrame, to: str, vocab: str, end_id: int = END_ID, shard: int = SHARD) -> DataFrame:
     """Write the shards under the folder; returns the manifest (shard, uri, n_docs, n_tokens). Lazy: writing the manifest writes the shards."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         claim("ids", _forget)
         encoder, end = library(vocab), np.array([end_id], np.uint32)
-        first = next(batches, None)
-        if first is None:
-            return
-        shard = TaskContext.get().partitionId()
-        uri = f"{to}/ids-{shard:06d}.bin"
-        with create(uri) as out:
-            writer = Writer(out, width_of(max(encoder.size, end_id + 1)))
-            batch = first
-            while batch is not None:
+        part, width = TaskContext.get().partitionId(), width_of(max(encoder.size, end_id + 1))
+
+        def rows():
+            for batch in batches:
                 keys, at = batch.column(0).to_pylist(), 0
                 for texts in groups(batch.column(1).to_pylist()):
                     for key, ids in zip(keys[at : at + len(texts)], encoder.packed(texts)):
-                        writer.add(key, np.concatenate((np.frombuffer(ids, "<u4"), end)))
+                        yield key, np.concatenate((np.frombuffer(ids, "<u4"), end))
                     at += len(texts)
-                batch = next(batches, None)
-            writer.close()
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "uri": [uri], "n_docs": [len(writer.doc_ids)], "n_tokens": [writer.tokens]}, schema=pa.schema({"shard": pa.int32(), "uri": pa.string(), "n_docs": pa.int64(), "n_tokens": pa.int64()}))
+
+        todo, k = rows(), 0
+        row = next(todo, None)
+        while row is not None:
+            uri = f"{to}/ids-{part:06d}-{k:06d}.bin"
+            with create(uri) as out:
+                writer = Writer(out, width)
+                while row is not None and writer.tokens < shard and len(writer.doc_ids) < SHARD_DOCS:
+                    writer.add(*row)
+                    row = next(todo, None)
+                writer.close()
+            yield pa.RecordBatch.from_pydict({"shard": [part << 32 | k], "uri": [uri], "n_docs": [len(writer.doc_ids)], "n_tokens": [writer.tokens]}, schema=pa.schema({"shard": pa.int64(), "uri": pa.string(), "n_docs": pa.int64(), "n_tokens": pa.int64()}))
+            k += 1
 
     frame = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     dealt = frame.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(run, "shard int, uri string, n_docs long, n_tokens long")
+    return dealt.mapInArrow(run, "shard long, uri string, n_docs long, n_tokens long")
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame, most: int = 1 << 20) -> DataFrame:
