@@ -30,6 +30,7 @@ left out; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -249,22 +250,26 @@ def _classes(docs: DataFrame, work: Workspace, k: int, percent: int, frequent: i
     # 5. members of different components that meet
     named = work.write(known.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "named")
     work.drop(known)
-    mixed = work.write(named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"), "mixed")
-    left = work.write(named.join(mixed, "token"), "left")
+    # sizes of linked sets lie in the same band or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100.01 / percent))
+    banded = named.select("*", F.explode(F.array(band, band + 1)).alias("band"))
+    mixed = work.write(banded.groupBy("token", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "band"), "mixed")
+    left = work.write(banded.join(mixed, ["token", "band"]), "left")
     work.drop(named, mixed)
 
     def meetings(index: DataFrame, keys: list[str]) -> DataFrame:
-        x, y = index.alias("x"), index.alias("y")
+        x, y = index.alias("x"), index.hint("merge").alias("y")
         same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys]
         return x.join(y, [*same, F.col("x.cid") < F.col("y.cid"), F.col("x.label") != F.col("y.label"), may("x", "y")]).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
 
-    rare = meetings(left.where(F.col("m") <= frequent), ["token"])
-    of = ["cid", "n", "label", "alone", "deep"]
+    rare = meetings(left.where(F.col("m") <= frequent), ["token", "band"])
+    of = ["cid", "n", "label", "alone", "deep", "band"]
     common = left.where(F.col("m") > frequent).groupBy(*of).agg(F.array_sort(F.collect_list("token")).alias("t")).where("size(t) > 1")
-    combined = common.select(*of, F.explode(F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(x as t1, y as t2))))")).alias("both")).select(*of, "both.t1", "both.t2")
+    first = common.select(*of, "t", F.posexplode("t").alias("i", "t1"))
+    combined = first.select(*of, "t1", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("t2"))  # t itself stays behind
     # lists that lie in one component alone make no meeting
-    kept = work.write(combined.groupBy("t1", "t2").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("t1", "t2"), "kept")
-    more = rare.union(meetings(work.write(combined.join(kept, ["t1", "t2"]), "combined"), ["t1", "t2"])).distinct()
+    kept = work.write(combined.groupBy("t1", "t2", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("t1", "t2", "band"), "kept")
+    more = rare.union(meetings(work.write(combined.join(kept.hint("merge"), ["t1", "t2", "band"]), "combined"), ["t1", "t2", "band"])).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = work.write(more.join(done, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
