@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import tempfile
 import uuid
 from contextlib import contextmanager
 from pathlib import Path
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seine.operators.state import shared_dir
+
 #: ASCII white space that separates words, as the byte-wise split of Python sees it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,15 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/seine-shared-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Workspace:
     """Tables and files of one run, under the shared folder. Written tables cut lineage and outlive executors."""
 
@@ -55,10 +47,10 @@ class Workspace:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{tag}"
 
-    def write(self, df: DataFrame, tag: str) -> DataFrame:
+    def write(self, df: DataFrame, tag: str, **options: str) -> DataFrame:
         """Write the rows and return a frame that reads them back."""
         path = self.path(tag)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back.seine_path = path
         return back

@@ -1,16 +1,17 @@
 """Media columns: audio features of 8-bit samples.
 
-A payload of bytes is stored as an unsigned 8-bit mono WAV file and read back from those bytes. Features come from
-what was read: a polyphase filter changes the rate, overlapping windows give log-mel energies, and a two-threshold
-(hysteresis) walk over frame energies finds the active spans. Spans are cut into tensors of a fixed shape
-[frames, mels], the last one padded, each with its start and end in seconds; `tensor_table` stores them as Arrow
-fixed-shape tensors.
+A payload of bytes is stored as an unsigned 8-bit mono WAV file, in a column of a written table, and read back from that
+table. Features come from what was read: a polyphase filter changes the rate, overlapping windows give log-mel energies,
+and a two-threshold (hysteresis) walk over frame energies finds the active spans. Spans are cut into tensors of a fixed
+shape [frames, mels], the last one padded, each with its start and end in seconds. Each task stores them, in half
+precision, as Arrow fixed-shape tensors in Parquet files of bounded size in the shared folder (whole or not at all),
+reads each file again, and makes the features of its rows from that.
 
 Work on one file does not look at another, so equal bytes give equal values wherever they lie. Long files are
 processed in runs of frames, so memory does not grow with them beyond their bytes and energies.
 
 Defined results: a null text counts as the empty text (one unit of padding); null ids pass through; repeated rows
-repeat; other columns are left out; an empty table gives no rows.
+repeat; other columns are left out; an empty table gives no rows; a file without an active span has no tensors.
 """
 
 from __future__ import annotations
@@ -18,19 +19,25 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from seine.llm.common import table
+from seine.llm.common import Workspace, create, opened, table
 
 UNIT, PAD = 576, b"\xff"
-RATE, UP, DOWN, TAPS = 16_000, 1, 2, 16
-FRAME, HOP, FFT, MELS = 200, 80, 256, 24
+RATE, UP, DOWN, TAPS = 16_000, 3, 4, 16
+FRAME, HOP, FFT, MELS = 300, 120, 512, 24
 #: Frames over HIGH dB above the quiet floor open a span, frames under LOW close it; spans shorter than SHORT are left out.
-HIGH, LOW, SHORT = 9.0, 5.0, 3
+#: The floor is the level that a tenth of the frames stay below, but QUIET at most: steady sound is active throughout.
+HIGH, LOW, SHORT, QUIET = 9.0, 5.0, 3, -45.0
+#: Tensors from which on a file of them ends.
+SHARD = 1 << 14
 SHAPE = (32, MELS)
 RUN = 1 << 13
 
@@ -122,7 +129,7 @@ def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def spans(energy: np.ndarray) -> list[tuple[int, int]]:
     """Active runs of frames: each opens at a frame over HIGH and goes on until one under LOW, both above the quiet floor."""
-    floor = np.partition(energy, len(energy) // 10)[len(energy) // 10]
+    floor = min(np.partition(energy, len(energy) // 10)[len(energy) // 10], QUIET)
     mark = np.where(energy >= floor + HIGH, 1, np.where(energy < floor + LOW, -1, 0))
     at = np.maximum.accumulate(np.where(mark != 0, np.arange(len(mark)), 0))
     on = np.concatenate(([0], (mark[at] == 1).astype(np.int8), [0]))
@@ -144,60 +151,99 @@ def tensors(mels: np.ndarray, found: list[tuple[int, int]]) -> tuple[np.ndarray,
     return np.array(out, np.float32).reshape(-1, *SHAPE), when
 
 
-def tensor_table(rows: list[tuple[int | None, bytes]]) -> pa.Table:
-    """Features of stored files as a table with a fixed-shape tensor column."""
-    keys, blocks, when = [], [], []
-    for key, data in rows:
-        mels, energy = log_mel(np.frombuffer(samples_of(data)[1], np.uint8))
-        block, at = tensors(mels, spans(energy))
-        keys += [key] * len(at)
-        blocks.append(block)
-        when += at
-    flat = np.concatenate(blocks) if blocks else np.empty((0, *SHAPE), np.float32)
-    kind = pa.fixed_shape_tensor(pa.float32(), SHAPE)
-    storage = pa.FixedSizeListArray.from_arrays(pa.array(flat.reshape(-1)), SHAPE[0] * SHAPE[1])
-    return pa.table({
-        "id": pa.array(keys, pa.int64()), "start_s": pa.array([a for a, _ in when], pa.float64()), "end_s": pa.array([b for _, b in when], pa.float64()),
-        "log_mel": pa.ExtensionArray.from_storage(kind, storage),
-    })
+KIND = pa.fixed_shape_tensor(pa.float16(), SHAPE)
+TENSORS = pa.schema({"row": pa.int64(), "id": pa.int64(), "start_s": pa.float64(), "end_s": pa.float64(), "log_mel": KIND})
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def tensor_batch(rows: list[int], keys: list[int | None], when: list[tuple[float, float]], blocks: np.ndarray) -> pa.RecordBatch:
+    """A batch with a fixed-shape tensor column. row: number of the media row within its task."""
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(blocks.astype(np.float16).reshape(-1)), SHAPE[0] * SHAPE[1])
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.int64()), pa.array([a for a, _ in when], pa.float64()), pa.array([b for _, b in when], pa.float64()), pa.ExtensionArray.from_storage(KIND, storage)], schema=TENSORS)
 
 
-def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_tensors: bool = False) -> DataFrame:
-    """Per row: sizes and digests of the payload and of the stored file, a summary of the features, and with_tensors the
-    tensors themselves (tensors: binary float32 of SHAPE each; span_start_s, span_end_s)."""
+def stored_tensors(uri: str) -> Iterator[tuple[list[int], list[tuple[float, float]], np.ndarray]]:
+    """Rows, time spans and tensors of a file, in runs."""
+    with opened(uri) as f:
+        for batch in pq.ParquetFile(f).iter_batches(1024):
+            tensors_ = batch.column(4).to_numpy_ndarray() if batch.num_rows else np.empty((0, *SHAPE), np.float16)
+            yield batch.column(0).to_pylist(), list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())), tensors_
+
+
+def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, media: each text as a WAV file."""
 
     def run(batches):
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for at in range(0, len(keys), 256):
-                rows = []
-                for t in texts.slice(at, 256):
+            for at in range(0, batch.num_rows, 500):
+                keys, sizes, files = batch.column(0).slice(at, 500), [], []
+                for t in batch.column(1).slice(at, 500):
                     raw = (t.as_py() or "").encode()
-                    payload = raw + PAD * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
-                    stored = wav(payload)
+                    sizes.append(len(raw))
+                    files.append(wav(raw + PAD * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    frame = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return frame.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tensors long, tensor_file string"
+
+
+def audio_features(media: DataFrame, to: str) -> DataFrame:
+    """Per row of `media`: sizes and digests of the payload and of the stored file, a summary of the features, how many
+    tensors it has and the file below `to` that holds them. Lazy: what reads the rows writes the files."""
+
+    def run(batches):
+        part, names, k, row = TaskContext.get().partitionId(), [x.split()[0] for x in SCHEMA.split(", ")], 0, 0
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+
+        def features() -> Iterator[tuple[int, int | None, list, str, list, np.ndarray]]:
+            for batch in batches:
+                for key, size, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    stored = stored.as_py()
                     rate, back = samples_of(stored)
                     mels, energy = log_mel(np.frombuffer(back, np.uint8))
                     found = spans(energy)
                     block, when = tensors(mels, found)
-                    print_ = hashlib.sha256(np.round(block * 8).astype("<i2").tobytes()).hexdigest()[:16]
-                    active = sum(b - a for a, b in found)
-                    feature = f"rate={rate};frames={len(energy)};spans={len(found)};active={active};tensors={len(block)};db={energy.mean(dtype=np.float64):.2f};mel={mels.mean(dtype=np.float64):.2f};print={print_}"
-                    row = [len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature]
-                    rows.append(row + [[b.tobytes() for b in block], [a for a, _ in when], [b for _, b in when]] if with_tensors else row)
-                cols = list(zip(*rows))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.float64()), pa.list_(pa.float64())]
-                names = [x.split()[0] for x in (SCHEMA + ", tensors x, span_start_s x, span_end_s x").split(", ")]
-                yield pa.RecordBatch.from_arrays([keys.slice(at, 256), *(pa.array(c, k) for c, k in zip(cols, kinds))], names[: 1 + len(cols)])
-
-    frame = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return frame.mapInArrow(run, SCHEMA + (", tensors array<binary>, span_start_s array<double>, span_end_s array<double>" if with_tensors else ""))
+                    text = f"rate={rate};frames={len(energy)};spans={len(found)};active={sum(b - a for a, b in found)};db={energy.mean(dtype=np.float64):.2f};mel={mels.mean(dtype=np.float64):.2f}"
+                    yield key, [size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest()], text, when, block
+
+        todo = features()
+        item = next(todo, None)
+        while item is not None:
+            uri, held, n = f"{to}/tensors-{part:06d}-{k:06d}.parquet", [], 0
+            with create(uri) as out, pq.ParquetWriter(out, TENSORS, compression="zstd") as writer:
+                while item is not None and n < SHARD:
+                    rows, keys, when, blocks = [], [], [], [np.empty((0, *SHAPE), np.float32)]
+                    while item is not None and len(rows) < 1024:
+                        key, sizes, text, spans_, block = item
+                        rows += [row] * len(block)
+                        keys += [key] * len(block)
+                        when += spans_
+                        blocks.append(block)
+                        held.append((row, key, sizes, text))
+                        row += 1
+                        item = next(todo, None)
+                    writer.write_batch(tensor_batch(rows, keys, when, np.concatenate(blocks)))
+                    n += len(rows)
+            # from here on only what the file holds
+            prints, counts = {r: hashlib.sha256() for r, *_ in held}, dict.fromkeys((r for r, *_ in held), 0)
+            for rows, when, blocks in stored_tensors(uri):
+                for r, (start, end), block in zip(rows, when, blocks):
+                    prints[r].update(struct.pack("<dd", start, end) + block.astype("<f2").tobytes())
+                    counts[r] += 1
+            for at in range(0, len(held), 1000):
+                cols = zip(*((key, *sizes, f"{text};tensors={counts[r]};print={prints[r].hexdigest()[:16]}", counts[r], uri) for r, key, sizes, text in held[at : at + 1000]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds)], names)
+            k += 1
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, SCHEMA)
 
 
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio_features(table(spark, sf_dir, "documents"))
+    work = Workspace(spark, "op9")
+    media = work.write(stored_media(table(spark, sf_dir, "documents")), "media", compression="zstd")
+    return audio_features(media, work.path("tensors")).drop("tensor_file")
 
 
 QUERIES = {"op9_audio": op9_audio}
