@@ -10,18 +10,31 @@ def sigmoid(x):
 
 
 class Rows:
-    """Rows of feature ids (a ragged array)."""
+    """Rows of feature ids (a ragged array), worked on in runs of RUN ids so that no temporary grows with them."""
+
+    RUN = 1 << 19
 
     def __init__(self, rows: list[np.ndarray]):
         self.n = np.array([len(r) for r in rows], np.int64)
-        self.ids = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
-        self.of = np.repeat(np.arange(len(rows)), self.n)
+        self.ids = np.concatenate([np.empty(0, np.int32), *rows], dtype=np.int32, casting="unsafe")
+        self.of = np.repeat(np.arange(len(rows), dtype=np.int32), self.n)
+
+    def _runs(self):
+        return ((self.ids[a : a + self.RUN], self.of[a : a + self.RUN]) for a in range(0, len(self.ids), self.RUN))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.of, w[self.ids], len(self.n))
+        out = np.zeros(len(self.n))
+        for ids, of in self._runs():
+            first = int(of[0])
+            part = np.bincount(of - first, w[ids])
+            out[first : first + len(part)] += part
+        return out
 
     def back(self, g: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.ids, g[self.of], size)
+        out = np.zeros(size)
+        for ids, of in self._runs():
+            out += np.bincount(ids, g[of], size)
+        return out
 
 
 def fit(rows: Rows, y: np.ndarray, size: int, steps: int = 30, ridge: float = 0.02) -> tuple[np.ndarray, float]:

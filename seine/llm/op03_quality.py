@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seine.llm.common import claim, table
+from seine.llm.common import claim, free_names, release, table
 from seine.llm.logistic import Rows, fit, newton, sigmoid
 
 LABELLED, POOL, ROUNDS, HANDED, SURE = 8000, 4000, 3, 400, 0.97
@@ -56,7 +56,7 @@ def _forget() -> None:
 
 def text_view(text: str | None) -> tuple[np.ndarray, int, int]:
     """Distinct feature ids, words, distinct words."""
-    if len(_features) > 300_000:
+    if len(_features) > 150_000:
         _features.clear()
     words = (text or "").encode().lower().split()
     distinct = set(words)
@@ -170,6 +170,8 @@ class Model:
             target.learn(views, [SIZE, self.meta.size], np.where(np.isnan(y), np.nan, (y >= 0.5).astype(float)), pools)
             if target.w is not None:
                 target.w = [w.astype(np.float32) for w in target.w]
+        del t, words, views, pools, hot
+        release()
 
 
 def _extract(batches) -> Iterator[pa.RecordBatch]:
@@ -184,10 +186,11 @@ def _extract(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.float64()))], ["doc_id", "p", "q", "x", "ids", "meta"])
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with quality_score_ and toxic_score_ (probabilities) behind its own columns."""
+def scored(docs: DataFrame, model: Model) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, the probabilities of quality and of toxicity, and their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     n = len(docs.columns)
+    quality, toxic, *views = free_names(docs, "quality", "toxic", *(f"view{i}" for i in range(len(VIEW))))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         claim("quality", _forget)
@@ -203,18 +206,20 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 rows, hot = Rows(ids), m.meta.ids(np.array(meta))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(m.quality.score(rows, hot)), pa.array(m.toxic.score(rows, hot))], names)
 
-    out = T.StructType([*docs.schema.fields, T.StructField("quality_score_", T.DoubleType()), T.StructField("toxic_score_", T.DoubleType())])
+    out = T.StructType([*docs.schema.fields, T.StructField(quality, T.DoubleType()), T.StructField(toxic, T.DoubleType())])
     names = [f.name for f in out.fields]
-    return docs.select("*", *(c.alias(f"view{i}_") for i, c in enumerate(_view(docs)))).mapInArrow(run, out)
+    return docs.select("*", *(c.alias(v) for c, v in zip(_view(docs), views))).mapInArrow(run, out), quality, toxic
 
 
-KEEP = "quality_score_ >= 0.5 and toxic_score_ < 0.5"
+def keep(quality: str, toxic: str):
+    """The documents that are not rejected."""
+    return (F.col(quality) >= 0.5) & (F.col(toxic) < 0.5)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = scored(docs, Model(docs, table(spark, sf_dir, "labels")))
-    return rows.select("doc_id", F.col("quality_score_").alias("quality_score"), F.col("toxic_score_").alias("toxic_score"), F.expr(KEEP).alias("kept"))
+    rows, quality, toxic = scored(docs, Model(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", F.col(quality).alias("quality_score"), F.col(toxic).alias("toxic_score"), keep(quality, toxic).alias("kept"))
 
 
 QUERIES = {"op3_quality": op3_quality}

@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seine.llm.common import Workspace, claim, table
+from seine.llm.common import Workspace, claim, free_names, table
 
 LABELLED, SIZE = 6000, 1 << 16
+#: The most copies that `mixed` makes of a document; what this leaves short of the targets is reported.
+MOST = 20.0
 CLOSE = 1e-5
 #: Weight of the distance from 1 beside the misses, made smaller until those are CLOSE or stay as they are.
 WEIGHT, LESS = 1e-6, 1e-3
@@ -53,7 +55,7 @@ def _forget() -> None:
 
 def slots(text: str | None) -> np.ndarray:
     """Hashes of all words of the text."""
-    if len(_slots) > 300_000:
+    if len(_slots) > 150_000:
         _slots.clear()
     words = (text or "").encode().lower().split()
     return np.fromiter(map(_slots.__getitem__, words), np.int64, len(words))
@@ -224,12 +226,13 @@ def rated(rows: DataFrame, plan: Plan) -> DataFrame:
     return rows.select("doc_id", "n_tokens", "p").mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double")
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, work: Workspace, targets: dict[str, float] = TARGETS, floor: float = 1.0, most: float | None = None) -> DataFrame:
-    """The documents, each as often as its rate says; the same columns. With a floor of 1 none goes."""
+def mixed(docs: DataFrame, labelled: DataFrame, work: Workspace, targets: dict[str, float] = TARGETS, floor: float = 1.0, most: float | None = MOST) -> DataFrame:
+    """The documents, each as often as its rate says, at most `most` times; the same columns. With a floor of 1 none goes."""
     model = fit_membership(docs, labelled, targets)
     plan = fit_rates(work.write(posteriors(docs, model), "posteriors"), targets, floor, most)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     n = len(docs.columns)
+    rate, view, copy = free_names(docs, "rate", "view", "copy")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         claim("mixing", _forget)
@@ -239,10 +242,10 @@ def mixed(docs: DataFrame, labelled: DataFrame, work: Workspace, targets: dict[s
                 p = np.stack([m.one(slots(t.as_py())) for t in batch.column(n)])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(plan.rates(p))], names)
 
-    out = T.StructType([*docs.schema.fields, T.StructField("rate_", T.DoubleType())])
+    out = T.StructType([*docs.schema.fields, T.StructField(rate, T.DoubleType())])
     names = [f.name for f in out.fields]
-    rows = docs.select("*", docs["text"].cast("string").alias("view_")).mapInArrow(run, out)
-    return rows.withColumn("copy_", F.explode(F.array_repeat(F.lit(1), draws(rate="rate_").cast("int")))).select(*docs.columns)
+    rows = docs.select("*", docs["text"].cast("string").alias(view)).mapInArrow(run, out)
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), draws(rate=rate).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:

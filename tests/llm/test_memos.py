@@ -29,7 +29,7 @@ def test_memos(spark, sf):
     membership = op04_mixing.fit_membership(docs, op04_mixing.labelled_languages(docs, labels), op04_mixing.TARGETS)
     runs = {
         "bpe": lambda: op01_bpe.encode_texts(docs, op01_bpe.vocabulary()).collect(),
-        "quality": lambda: op03_quality.scored(docs, quality).collect(),
+        "quality": lambda: op03_quality.scored(docs, quality)[0].collect(),
         "mixing": lambda: op04_mixing.posteriors(docs, membership).collect(),
         "ids": lambda: op10_token_file.write_token_files(docs, Workspace(spark, "memos").path("ids"), op01_bpe.vocabulary()).collect(),
     }

@@ -85,15 +85,18 @@ def test_quality(spark, odd, sf):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     fit = labels.where("doc_id % 3 <> 0")
     model = q.Model(docs, fit)
-    held = q.scored(docs, model).join(labels.where("doc_id % 3 = 0"), "doc_id")
-    r = held.select(F.avg(((F.col("quality_score_") >= 0.5).cast("int") == F.col("quality")).cast("int")).alias("q"), F.avg(((F.col("toxic_score_") >= 0.5).cast("int") == F.col("toxic")).cast("int")).alias("t"), F.avg(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), F.expr(q.KEEP).cast("int"))).alias("k")).first()
+    rows, qs, ts = q.scored(docs, model)
+    held = rows.join(labels.where("doc_id % 3 = 0"), "doc_id")
+    r = held.select(F.avg(((F.col(qs) >= 0.5).cast("int") == F.col("quality")).cast("int")).alias("q"), F.avg(((F.col(ts) >= 0.5).cast("int") == F.col("toxic")).cast("int")).alias("t"), F.avg(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), q.keep(qs, ts).cast("int"))).alias("k")).first()
     assert r["q"] > 0.97 and r["t"] > 0.96 and r["k"] > 0.97
-    got = q.scored(odd, model)
-    assert got.columns[: len(odd.columns)] == odd.columns and got.where("quality_score_ between 0 and 1 and toxic_score_ between 0 and 1").count() == odd.count()
+    clash = odd.selectExpr("*", "1 as seine_quality", "2 as seine_toxic", "3 as view0_", "4 as seine_view0")
+    got, qs, ts = q.scored(clash, model)
+    assert got.columns[: len(clash.columns)] == clash.columns and got.where(F.col(qs).between(0, 1) & F.col(ts).between(0, 1)).count() == odd.count()
     none = labels.limit(0)
-    assert q.scored(odd, q.Model(odd, none)).where(q.KEEP).count() == odd.count()
+    got, qs, ts = q.scored(odd, q.Model(odd, none))
+    assert got.where(q.keep(qs, ts)).count() == odd.count()
     bad = spark.createDataFrame([(1, 1, 0), (1, 0, None), (None, 1, 1), (77, 0, 0)], "doc_id long, quality int, toxic int")
-    assert q.scored(odd, q.Model(odd, bad)).count() == odd.count() and q.scored(odd.limit(0), q.Model(odd.limit(0), bad)).count() == 0
+    assert q.scored(odd, q.Model(odd, bad))[0].count() == odd.count() and q.scored(odd.limit(0), q.Model(odd.limit(0), bad))[0].count() == 0
 
 
 def test_mixing(spark, big, labels, odd, sf):
@@ -113,24 +116,25 @@ def test_mixing(spark, big, labels, odd, sf):
     out = mix.mixed(big, mix.labelled_languages(big, labels), work)
     assert out.columns == big.columns and out.select("doc_id").distinct().count() == big.count() <= out.count()
     lab = spark.createDataFrame([(1, "en"), (4, None), (9, "es"), (13, "fr"), (None, "de")], "doc_id long, domain string")
-    assert mix.mixed(odd, lab, work).select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
+    clash = odd.selectExpr("*", "1 as rate_", "2 as view_", "3 as copy_", "4 as seine_rate", "5 as seine_view", "6 as seine_copy")
+    out = mix.mixed(clash, lab, work)
+    assert out.columns == clash.columns and out.select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
+    assert out.groupBy("doc_id", "text").count().agg(F.max("count")).first()[0] <= 2 * mix.MOST
     assert mix.mixed(odd, lab.limit(0), work).count() >= odd.count() and mix.mixed(odd.limit(0), lab, work).count() == 0
 
 
 def brute_lines(rows, w):
     """Every qualifying window of lines, in order; a window seen before is deleted."""
-    lines = {d: [x.strip(" \t\r\x0b\x0c") for x in t.split("\n")] for d, t in rows}
+    lines = {d: [(i, x) for i, raw in enumerate(t.split("\n")) if (x := raw.strip(" \t\r\x0b\x0c"))] for d, t in rows}
     seen, gone = {}, set()
     for d in sorted(lines):
         ls = lines[d]
         for i in range(len(ls)):
             for k in range(i + 1, len(ls) + 1):
-                if not all(ls[i:k]):
-                    break
-                if sum(len(x.split()) for x in ls[i:k]) >= w:
-                    key = tuple(ls[i:k])
+                key = tuple(x for _, x in ls[i:k])
+                if sum(len(x.split()) for x in key) >= w:
                     if key in seen:
-                        gone |= {(d, x) for x in range(i, k)}
+                        gone |= {(d, at) for at, _ in ls[i:k]}
                     seen.setdefault(key, (d, i))
     return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
 
@@ -154,18 +158,89 @@ def test_lines(spark, odd):
     assert out.columns == odd.columns and out.where("doc_id = 8").count() == 2 and li.without_copies(odd.limit(0), Workspace(spark, "t")).count() == 0
 
 
+def audio(spark, docs):
+    work = Workspace(spark, "t9")
+    return au.audio_features(work.write(au.stored_media(docs), "media"), work.path("tensors"))
+
+
+def plain_log_mel(x):
+    """Frame by frame: the input with zeros between, the whole low pass, every DOWN-th sample; windows; triangles on the mel scale."""
+    up = np.zeros(len(x) * au.UP)
+    up[:: au.UP] = (x.astype(float) - 128) / 128
+    y = np.convolve(up, au.phases().T.reshape(-1))[:: au.DOWN]
+    n = -(-len(x) * au.UP // au.DOWN)
+    frames = 1 + max(0, -(-(n - au.FRAME) // au.HOP))
+    y = np.append(y, np.zeros(au.FRAME + au.HOP))
+    rate = au.RATE * au.UP / au.DOWN
+    to_mel, to_hz = lambda f: 2595 * np.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)
+    edge = [to_hz(m) for m in np.linspace(0, to_mel(rate / 2), au.MELS + 2)]
+    out, energy = [], []
+    for i in range(frames):
+        w = y[i * au.HOP : i * au.HOP + au.FRAME] * np.hanning(au.FRAME)
+        power = np.abs(np.fft.fft(w, au.FFT)[: au.FFT // 2 + 1]) ** 2
+        hz = np.arange(au.FFT // 2 + 1) * rate / au.FFT
+        out.append([np.log(sum(p * max(0, min((f - a) / (b - a), (c - f) / (c - b))) for p, f in zip(power, hz)) + 1e-6) for a, b, c in zip(edge, edge[1:], edge[2:])])
+        energy.append(10 * np.log10((w * w).mean() + 1e-9))
+    return np.array(out), np.array(energy)
+
+
+def plain_spans(energy):
+    floor = min(sorted(energy)[len(energy) // 10], au.QUIET)
+    out, start = [], None
+    for i, e in enumerate([*energy, -1e9]):
+        if start is None and e >= floor + au.HIGH:
+            start = i
+        elif start is not None and e < floor + au.LOW:
+            if i - start >= au.SHORT:
+                out.append((start, i))
+            start = None
+    return out
+
+
 def test_audio(spark, odd):
-    got = au.audio_features(odd).collect()
-    assert len(got) == odd.count() and au.audio_features(odd.limit(0)).count() == 0
+    import hashlib
+    import zlib
+
+    texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
+    got = audio(spark, odd).collect()
+    assert len(got) == odd.count() and audio(spark, odd.limit(0)).count() == 0
+    files = {}
+    for r in got:
+        raw = texts[r["doc_id"]].encode() if r["doc_id"] != 8 else b"one"
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        wav = au.wav(payload)
+        assert r["n_bytes"] == len(raw) and r["payload_bytes"] == len(payload) and r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert r["tail_crc32"] == zlib.crc32(payload[-32:]) and r["media_bytes"] == len(wav) and r["media_sha256"] == hashlib.sha256(wav).hexdigest()
+        if len(raw) < 2000:
+            mels, energy = plain_log_mel(np.frombuffer(payload, np.uint8))
+            ours, e = au.log_mel(np.frombuffer(payload, np.uint8))
+            assert np.allclose(ours, mels, atol=2e-3) and np.allclose(e, energy, atol=1e-2)
+            found = plain_spans(energy)
+            assert au.spans(energy) == found and sum(-(-(b - a) // au.SHAPE[0]) for a, b in found) == r["n_tensors"]
+        if r["n_tensors"]:
+            files.setdefault(r["tensor_file"], []).append(r)
+    assert files
+    import pyarrow.parquet as pq
+
+    for uri, rows in files.items():
+        t = pq.read_table(uri.removeprefix("file:"))
+        assert t.schema.field("log_mel").type == au.KIND and t.num_rows == sum(r["n_tensors"] for r in rows)
+        assert all(b > a >= 0 for a, b in zip(t["start_s"].to_pylist(), t["end_s"].to_pylist()))
     by = {r["doc_id"]: r for r in got}
-    assert by[1][1:] == by[2][1:] and by[3][1:] == by[4][1:] and by[4]["payload_bytes"] == 576 and by[4]["media_bytes"] == 620
-    text = "x" * 577
-    payload = text.encode() + b"\xff" * (1152 - 577)
-    assert au.samples_of(au.wav(payload)) == (16000, payload) and au.samples_of(au.wav(b"abc")) == (16000, b"abc")
+    assert by[1][1:9] == by[2][1:9] and by[3][1:9] == by[4][1:9] and by[4]["payload_bytes"] == 576 and by[4]["media_bytes"] == 620
+    assert au.samples_of(au.wav(b"abc")) == (16000, b"abc")
     with pytest.raises(ValueError):
         au.samples_of(b"RIFFxxxxWAVE")
 
 
+def test_spans():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 9, 200):
+        for _ in range(50):
+            e = rng.normal(rng.choice([-60, -20]), rng.choice([2, 12]), n)
+            assert au.spans(e) == plain_spans(e)
+
+
 def test_audio_parts():
     t = np.arange(48_000) / 16_000
     tone = np.where((t > 1) & (t < 2), np.sin(2 * np.pi * 1000 * t), 0) * 100 + 128
@@ -173,9 +248,8 @@ def test_audio_parts():
     mels, energy = au.log_mel(x)
     (a, b), = au.spans(energy)
     assert abs(a * 0.01 - 1) < 0.05 and abs(b * 0.01 - 2) < 0.05
-    table = au.tensor_table([(5, au.wav(x.tobytes()))])
-    assert table.schema.field("log_mel").type.shape == list(au.SHAPE) and table["id"].to_pylist() == [5] * table.num_rows
-    assert table["log_mel"].combine_chunks().to_numpy_ndarray().shape == (table.num_rows, *au.SHAPE)
+    block, when = au.tensors(mels, [(a, b)])
+    assert block.shape == (len(when), *au.SHAPE) and when[0][0] == pytest.approx(a * 0.01) and (block[0] == mels[a : a + 32]).all()
     # any cut of the output gives the same samples, also with three phases
     h = au.phases(3, 2)
     y = au.resampled(x[:500], 0, 750, 3, 2)
