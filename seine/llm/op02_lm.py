@@ -1,23 +1,27 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-A word is drawn from the restaurant of its context, the last two bytes of the word before; its parent is the context of
-the last byte alone, shared by all contexts that end in it; their parent is the restaurant without context, over a
-uniform base of the known words and one unknown. There are at most 65,536 + 256 + 1 restaurants, so their totals are
-small whatever the corpus; all else about a word (its customers and tables in every restaurant) lies with the word.
+A word is drawn from the restaurant of its context, the word before it; the parent of that is the restaurant of the last
+two bytes of that word, shared by all contexts that end alike; their parent is the restaurant without context, over a
+uniform base of the known words and one unknown. Contexts are hashed: the ending has 256 classes, and each class has
+8192 restaurants that its words are hashed to, so there are 2**21 restaurants at any corpus size; words that share one
+are taken for one context (the frequent ones rarely do). Counts of words in contexts are kept whole and grow with the
+input, and the totals of the restaurants are summed in slices by tasks, so what reaches the driver is bounded.
 
 1. Map: texts are cut into words by batches of bounded size. A batch sends each bucket of words its occurrences
    (context, document), packed. Words that are very common in a batch are aggregated first: their bucket gets counts per
-   context only, and their occurrences stay in rows of their own, per word and batch.
+   context only, and their occurrences stay in rows of their own, by word, share of the contexts and batch.
 2. Each bucket counts customers per (word, context) over the training texts and starts with a table for each.
 3. Gibbs sweeps: all customers of a cell (a word in a restaurant) are seated anew at once. Its number of tables is
    drawn from its conditional distribution given all others, in proportion to a generalised Stirling number (from the
    recurrence, or by numerical integration for large counts) and to the weights of opening tables, which have the
-   parent's probability; each table sends a customer to the parent. Sweeps start from as many tables as cells without a
-   parent would open, as totals fall to their level faster than they rise to it, and go on until the totals of tables
-   settle. Buckets sweep in parallel with the totals of the sweep before. A bucket's seating is a file in the shared
-   folder; its seed is fixed, so a task that runs again writes the same.
+   parent's probability; each table sends a customer to the parent. After each sweep the discount and the strength of
+   each level are drawn from their joint conditional on a grid: tasks add up the Stirling numbers of their cells for each
+   discount, and the totals give the rest. Sweeps start from as many tables as cells without a parent would open, as
+   totals fall to their level faster than they rise to it, and go on until the totals of tables settle. Buckets sweep
+   in parallel with the totals of the sweep before. A bucket's seating is a file in the shared folder; its seed is
+   fixed, so a task that runs again writes the same.
 4. Predictive probabilities are averaged over the last sweeps; each bucket adds up their logarithms per document, the
-   rows of common words are joined with their word's table, and sums meet by batch.
+   rows of common words meet the same share of their word's table, and sums meet by batch.
 
 All texts and all training tokens take part. Defined results: a null text counts as empty (one end token); a null doc_id
 counts as the empty text for the training split; repeated rows are documents of their own; without training texts the
@@ -49,9 +53,16 @@ COMMON = 1 / 400
 #: At least SWEEPS sweeps; totals of tables have settled when a sweep moves them by SETTLED or, if that is more, by two
 #: standard deviations of a count.
 SWEEPS, AVERAGED, SETTLED, SMALL = 3, 2, 0.01, 512
-STRENGTH = (50.0, 20.0, 5.0)  # without context, one byte, two bytes
+#: Strengths at the start, and the grids that discounts and strengths are drawn from after each sweep.
+STRENGTH = (50.0, 20.0, 5.0)  # without context, the end of the word before, the word before
+DISCOUNTS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
+STRENGTHS = (0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0)
 END_WORD = np.uint64(0x9E3779B97F4A7C15)
-LEVELS = (1, 256, 65536)
+#: Bits of the hash of a word beside its ending; restaurants by level; restaurants in a slice of totals; shares of a
+#: common word's contexts.
+OWN_BITS = 13
+LEVELS = (1, 256, 256 << OWN_BITS)
+SLICE, SHARES = 1 << 15, 16
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -82,14 +93,20 @@ class Ids(dict):
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        self.contexts.append((word[-2] << 8 | word[-1]) if len(word) > 1 else word[0])
+        h = xxhash.xxh3_64_intdigest(word)
+        self.hashes.append(h)
+        self.contexts.append((zlib.crc32(word[-2:]) & 255) << OWN_BITS | h >> 64 - OWN_BITS)
         return n
 
 
 FIELDS = "kind int, key long, batch long, data binary, more binary, a double, b double"
 SCHEMA = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("batch", pa.int64()), ("data", pa.binary()), ("more", pa.binary()), ("a", pa.float64()), ("b", pa.float64())])
-STATE, TOTAL, HOT, DOC, COUNT, SUM = range(6)
+STATE, TOTAL, HOT, DOC, COUNT, SUM, TABLE, FIT = range(8)
+
+
+def share_key(word: np.uint64, share: int) -> int:
+    """A key of a common word and a share of its contexts."""
+    return xxhash.xxh3_64_intdigest(int(word).to_bytes(8, "little"), seed=share) - (1 << 63)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -100,11 +117,11 @@ def split_words(docs: DataFrame, buckets: int) -> DataFrame:
     """Step 1: rows of kind STATE (key: bucket), HOT (key: word) and DOC."""
 
     def batch_rows(batch: int, ids: Ids, words: list[np.ndarray], doc_ids: list[int | None]) -> list[tuple]:
-        hashes, ctx_of = np.append(np.array(ids.hashes, np.uint64), END_WORD), np.array([*ids.contexts, 0], np.uint16)
+        hashes, ctx_of = np.append(np.array(ids.hashes, np.uint64), END_WORD), np.array([*ids.contexts, 0], np.uint32)
         n = np.array([len(w) for w in words], np.int64)
         word = np.concatenate(words)
         doc = np.repeat(np.arange(len(words), dtype=np.uint16), n)
-        ctx = np.zeros(len(word), np.uint16)
+        ctx = np.zeros(len(word), np.uint32)
         ctx[1:] = ctx_of[word[:-1]]
         ctx[np.cumsum(n)[:-1]] = 0
         train = np.array([in_training(d) for d in doc_ids])
@@ -132,10 +149,13 @@ def split_words(docs: DataFrame, buckets: int) -> DataFrame:
                 c, d = ctx[starts[h] : stops[h]], doc[starts[h] : stops[h]]
                 values, m = np.unique(c, return_inverse=True)
                 pre.append((values, np.bincount(m, train[d], len(values)).astype(np.uint32)))
-                rows.append((HOT, int(hashes[order[h]].view(np.int64)), batch, packed(c, np.diff(d, prepend=np.uint16(0))), None, None, None))
+                for share in range(SHARES):
+                    some = c % SHARES == share
+                    if some.any():
+                        rows.append((HOT, share_key(hashes[order[h]], share), batch, packed(c[some], np.diff(d[some], prepend=np.uint16(0))), None, None, None))
             data = packed(
                 hashes[plain], count[plain].astype(np.uint32), ctx[a:b], np.diff(doc[a:b], prepend=np.uint16(0)), bits, hashes[order[hot]], np.array([len(v) for v, _ in pre], np.int64),
-                np.concatenate([v for v, _ in pre] or [np.empty(0, np.uint16)]), np.concatenate([m for _, m in pre] or [np.empty(0, np.uint32)]),
+                np.concatenate([v for v, _ in pre] or [np.empty(0, np.uint32)]), np.concatenate([m for _, m in pre] or [np.empty(0, np.uint32)]),
             )
             rows.append((STATE, int(bucket[order[i]]), batch, data, None, None, None))
         return rows
@@ -170,9 +190,10 @@ class Bucket:
 
     def __init__(self, words: np.ndarray, pairs: np.ndarray, count: np.ndarray):
         self.words, self.pairs, self.count = words, pairs, count.astype(np.int64)
-        self.ctx = (pairs & 0xFFFF).astype(np.int64)
-        q = (pairs >> 16 << 8) | (pairs & 0xFF)  # (word, last byte); pairs of one q need not lie together
-        self.q, self.q_of = np.unique(q, return_inverse=True)
+        self.ctx = (pairs & 0xFFFFFFFF).astype(np.int64)
+        q = (pairs >> 32 << 8) | (self.ctx >> OWN_BITS)  # (word, ending), ascending as the pairs are
+        first = np.flatnonzero(np.diff(q, prepend=-1))
+        self.q, self.q_of = q[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(q))))
         self.q_ctx, self.w_of = self.q & 0xFF, self.q >> 8
 
     def start(self) -> list[np.ndarray]:
@@ -203,7 +224,7 @@ class Bucket:
         for level, (c, t, at) in enumerate(zip(self.customers(tables), tables, self.places())):
             if level > upto:
                 break
-            d, s = totals.discount[level], STRENGTH[level]
+            d, s = totals.discount[level], totals.strength[level]
             above = parent if level == 0 else out[-1][up[level]]
             out.append((c - d * t + (s + d * totals.tables[level][at]) * above) / (s + totals.customers[level][at]))
         return out
@@ -222,18 +243,46 @@ class Bucket:
                 else:
                     above = np.full(len(some), 1 / (totals.types + 1))
                 others = totals.tables[level][at] - tables[level][some]
-                t[some] = seated(c[some], STRENGTH[level] / d + others, above, d, rng)
+                t[some] = seated(c[some], totals.strength[level] / d + others, above, d, rng)
             tables[level] = t
         return tables
 
 
 class Totals:
     def __init__(self, discount: list[float], types: float):
-        self.discount, self.types = discount, types
-        self.customers, self.tables = [np.zeros(n) for n in LEVELS], [np.zeros(n) for n in LEVELS]
-
-
-@lru_cache(8)
+        self.discount, self.strength, self.types = list(discount), list(STRENGTH), types
+        self.customers, self.tables = [np.zeros(n, np.float32) for n in LEVELS], [np.zeros(n, np.float32) for n in LEVELS]
+
+    def drawn(self, fits: np.ndarray, rng: np.random.Generator) -> None:
+        """Draw discount and strength of each level. fits: per level and discount the sum of log S(c, t) over all cells."""
+        for level in range(3):
+            some = self.customers[level] > 1
+            both, n = np.unique(self.customers[level][some].astype(np.int64) << 32 | self.tables[level][some].astype(np.int64), return_counts=True)
+            if not len(n):
+                continue
+            c, t = (both >> 32).astype(float), (both & 0xFFFFFFFF).astype(float)
+            d, s = (x.ravel() for x in np.meshgrid(DISCOUNTS, STRENGTHS, indexing="ij"))
+            p = np.repeat(fits[level], len(STRENGTHS))
+            for i in range(len(d)):
+                opened_ = (t - 1) * math.log(d[i]) + log_gamma(s[i] / d[i] + t) - math.lgamma(s[i] / d[i] + 1)
+                p[i] += n @ (opened_ - log_gamma(s[i] + c) + math.lgamma(s[i] + 1))
+            k = int(np.argmax(p + rng.gumbel(size=len(p))))
+            self.discount[level], self.strength[level] = float(d[k]), float(s[k])
+
+
+def stirling_sum(c: np.ndarray, t: np.ndarray, d: float) -> float:
+    """Sum of log S(c, t) over cells."""
+    small = c <= SMALL
+    total = float(stirling(d)[c[small], t[small]].sum())
+    c, t = c[~small].astype(float), t[~small].astype(float)
+    one, mid = t == 1, (t > 1) & (t < c)
+    total += float((log_gamma(c[one] - d) - math.lgamma(1 - d)).sum())
+    for i in range(0, int(mid.sum()), 4096):
+        total += float(large(c[mid][i : i + 4096], t[mid][i : i + 4096], d).sum())
+    return total
+
+
+@lru_cache(32)
 def stirling(d: float) -> np.ndarray:
     """[c, t]: logarithm of the generalised Stirling number S(c, t), the weight of all ways to seat c customers at t tables."""
     s = np.full((SMALL + 1, SMALL + 1), -np.inf)
@@ -262,7 +311,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(below)
 
 
-@lru_cache(8)
+@lru_cache(32)
 def _saddles(d: float) -> tuple[np.ndarray, np.ndarray]:
     """log c/t, ascending, and log of the saddle point (see `large`)."""
     y = np.concatenate((np.geomspace(1e-40, 0.5, 6000), 1 - np.geomspace(0.5, 1e-12, 3000)[1:]))[::-1]
@@ -330,10 +379,10 @@ def _seated_large(c: np.ndarray, base: np.ndarray, w: np.ndarray, d: float, u: n
 
 
 def build_states(rows: DataFrame) -> DataFrame:
-    """Step 2: rows in the order of (kind, key). STATE rows with the pairs and the occurrences of a bucket; totals and
-    counts of the first seating; HOT and DOC rows as they came."""
+    """Step 2: rows in the order of (kind, key). STATE rows with the pairs and the occurrences of a bucket; counts of
+    the first seating; HOT and DOC rows as they came."""
 
-    def bucket_rows(key: int, held: list[tuple[int, bytes]], totals: list[np.ndarray], counts: np.ndarray) -> tuple:
+    def bucket_rows(key: int, held: list[tuple[int, bytes]], counts: np.ndarray) -> tuple:
         parts = [(batch, *unpacked(data)) for batch, data in held]
         all_words = np.concatenate([x for p in parts for x in (p[1], p[6])])
         words, inverse = np.unique(all_words, return_inverse=True)
@@ -341,36 +390,34 @@ def build_states(rows: DataFrame) -> DataFrame:
         for i, (_, h, n, ctx, doc, bits, hh, hn, hctx, hcount) in enumerate(parts):
             w, at = inverse[at : at + len(h)], at + len(h)
             d = np.cumsum(doc, dtype=np.uint16)
-            pairs.append(np.repeat(w, n).astype(np.int64) << 16 | ctx)
+            pairs.append(np.repeat(w, n).astype(np.int64) << 32 | ctx)
             weight.append(np.unpackbits(bits)[d])
             ref.append(np.uint32(i) << np.uint32(16) | d)
             w, at = inverse[at : at + len(hh)], at + len(hh)
-            hot.append((np.repeat(w, hn).astype(np.int64) << 16 | hctx, hcount))
+            hot.append((np.repeat(w, hn).astype(np.int64) << 32 | hctx, hcount))
         occ, more = np.concatenate(pairs), np.concatenate([p for p, _ in hot])
         found, where = np.unique(np.concatenate((occ, more)), return_inverse=True)
         count = np.bincount(where, np.concatenate((*weight, *(c for _, c in hot))), len(found)).astype(np.uint32)
         b = Bucket(words, found, count)
         tables = b.start()
-        for level, (c, t, place) in enumerate(zip(b.customers(tables), tables, b.places())):
-            totals[level][0] += np.bincount(place, c, LEVELS[level])
-            totals[level][1] += np.bincount(place, t, LEVELS[level])
+        for level, c in enumerate(b.customers(tables)):
             counts[2 + 2 * level : 4 + 2 * level] += (c == 1).sum(), (c == 2).sum()
-        per_word = np.bincount(found >> 16, count, len(words))
+        per_word = np.bincount(found >> 32, count, len(words))
         counts[:2] += count.sum(), (per_word > 0).sum()
         order = np.argsort(where[: len(occ)], kind="stable")
         n_occ = np.bincount(where[: len(occ)], minlength=len(found)).astype(np.uint32)
         is_hot = np.unique(np.concatenate([p[6] for p in parts]))
-        pair_data = packed(words, np.bincount(found >> 16, minlength=len(words)).astype(np.uint32), (found & 0xFFFF).astype(np.uint16), count)
+        pair_data = packed(words, np.bincount(found >> 32, minlength=len(words)).astype(np.uint32), (found & 0xFFFFFFFF).astype(np.uint32), count)
         return (STATE, key, 0, pair_data, packed(n_occ, np.concatenate(ref)[order], np.array([p[0] for p in parts], np.int64), is_hot), None, None)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        totals, counts = [np.zeros((2, n)) for n in LEVELS], np.zeros(8)
+        counts = np.zeros(8)
         key, held, any_ = None, [], False
         for batch in batches:
             for kind, k, b, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 any_ = True
                 if held and (kind != STATE or k != key):
-                    yield _rows([bucket_rows(key, held, totals, counts)])
+                    yield _rows([bucket_rows(key, held, counts)])
                     held = []
                 if kind == STATE:
                     key = k
@@ -378,36 +425,66 @@ def build_states(rows: DataFrame) -> DataFrame:
                 else:
                     yield _rows([(kind, k, b, data, None, None, None)])
         if held:
-            yield _rows([bucket_rows(key, held, totals, counts)])
+            yield _rows([bucket_rows(key, held, counts)])
         if any_:
-            yield _rows([*_total_rows(totals), *((COUNT, i, 0, None, None, float(x), None) for i, x in enumerate(counts))])
+            yield _rows([*((COUNT, i, 0, None, None, float(x), None) for i, x in enumerate(counts))])
 
     return rows.mapInArrow(run, FIELDS)
 
 
 def _total_rows(totals: list[np.ndarray]) -> list[tuple]:
-    return [(TOTAL, level << 32 | int(i), 0, None, None, float(c[i]), float(t[i])) for level, (c, t) in enumerate(totals) for i in np.flatnonzero(c)] or [(TOTAL, 0, 0, None, None, 0.0, 0.0)]
+    """Totals of a task in slices of restaurants; empty ones are left out."""
+    rows = []
+    for level, sums in enumerate(totals):
+        for i in range(0, sums.shape[1], SLICE):
+            if (part := sums[:, i : i + SLICE]).any():
+                rows.append((TOTAL, level << 32 | i, 0, packed(part.astype(np.float32)), None, None, None))
+    return rows
+
+
+def _gathered(rows: DataFrame, base: Totals, seed: int | None = None) -> Totals:
+    """Slices are summed by tasks; the driver gets a bounded number of them, and few other sums. With a seed, discounts and
+    strengths are drawn too."""
 
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        for batch in batches:
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if now is not None and key != now:
+                    yield _rows([(TOTAL, now, 0, packed(total.astype(np.float32)), None, None, None)])
+                    total = None
+                now, part = key, unpacked(data)[0].astype(np.float64)
+                total = part if total is None else total + part
+        if now is not None:
+            yield _rows([(TOTAL, now, 0, packed(total.astype(np.float32)), None, None, None)])
 
-def _gathered(rows: DataFrame, base: Totals) -> Totals:
-    """At most 65,793 sums."""
     out = Totals(base.discount, base.types)
-    for r in rows.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow().to_pylist():
-        out.customers[r["key"] >> 32][r["key"] & 0xFFFFFFFF] = r["a"]
-        out.tables[r["key"] >> 32][r["key"] & 0xFFFFFFFF] = r["b"]
+    out.strength = list(base.strength)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = rows.where(F.col("kind") == TOTAL).select("key", "data").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, FIELDS)
+    for key, data in slices.select("key", "data").collect():
+        c, t = unpacked(bytes(data))[0]
+        level, i = key >> 32, key & 0xFFFFFFFF
+        out.customers[level][i : i + len(c)], out.tables[level][i : i + len(t)] = c, t
+    if seed is not None:
+        fits = np.zeros((3, len(DISCOUNTS)))
+        for r in rows.where(F.col("kind") == FIT).groupBy("key").agg(F.sum("a").alias("a")).collect():
+            fits[r["key"] >> 8, r["key"] & 255] = r["a"]
+        out.drawn(fits, np.random.default_rng(seed))
     return out
 
 
 def _bucket(data: bytes) -> Bucket:
     words, n, ctx, count = unpacked(data)
-    return Bucket(words, np.repeat(np.arange(len(words)), n) << 16 | ctx, count)
+    return Bucket(words, np.repeat(np.arange(len(words)), n) << 32 | ctx.astype(np.int64), count)
 
 
 def swept(states: DataFrame, last: Totals, s: int, seats: list[str]) -> DataFrame:
-    """Step 3: totals after sweep s (0: the start), which reads seats[s - 1] and writes seats[s]."""
+    """Step 3: totals and fits after sweep s (0: the start), which reads seats[s - 1] and writes seats[s]."""
+    shared = states.sparkSession.sparkContext.broadcast(last)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros((2, n)) for n in LEVELS]
+        last, totals, fits = shared.value, [np.zeros((2, n)) for n in LEVELS], np.zeros((3, len(DISCOUNTS)))
         for batch in batches:
             for key, data in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 b = _bucket(data)
@@ -417,7 +494,9 @@ def swept(states: DataFrame, last: Totals, s: int, seats: list[str]) -> DataFram
                 for level, (c, t, place) in enumerate(zip(b.customers(tables), tables, b.places())):
                     totals[level][0] += np.bincount(place, c, LEVELS[level])
                     totals[level][1] += np.bincount(place, t, LEVELS[level])
-        yield _rows(_total_rows(totals))
+                    some = c > 1
+                    fits[level] += [stirling_sum(c[some], t[some], d) for d in DISCOUNTS]
+        yield _rows([*_total_rows(totals), *((FIT, level << 8 | i, 0, None, None, float(x), None) for level in range(3) for i, x in enumerate(fits[level]))])
 
     return states.select("key", "data").mapInArrow(run, FIELDS)
 
@@ -441,9 +520,12 @@ def _sums(batch: int, docs: np.ndarray, score: np.ndarray, base: np.ndarray, kno
 
 
 def final_sums(states: DataFrame, history: list[Totals], seats: list[str]) -> DataFrame:
-    """Step 4 for the occurrences in buckets: SUM rows; and HOT rows with the tables of common words (key: word)."""
+    """Step 4 for the occurrences in buckets: SUM rows; and TABLE rows with the probabilities of common words (key: word
+    and share of the contexts)."""
+    shared = states.sparkSession.sparkContext.broadcast(history)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        history = shared.value
         for batch in batches:
             for key, data, more in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 b = _bucket(data)
@@ -452,9 +534,9 @@ def final_sums(states: DataFrame, history: list[Totals], seats: list[str]) -> Da
                 for path, totals in zip(seats, history):
                     p += b.probabilities(_seats(path, key), totals)[2] / len(seats)
                 p = np.log10(p)
-                c = np.bincount(b.pairs >> 16, b.count, len(b.words))
+                c = np.bincount(b.pairs >> 32, b.count, len(b.words))
                 base, known = np.log10(c + 1), c > 0
-                word = b.pairs >> 16
+                word = b.pairs >> 32
                 score_of, word_of = np.repeat(p, n_occ), np.repeat(word, n_occ)
                 part = ref >> np.uint32(16)
                 by = np.argsort(part.astype(np.uint16), kind="stable")
@@ -466,7 +548,10 @@ def final_sums(states: DataFrame, history: list[Totals], seats: list[str]) -> Da
                         rows.append(_sums(batch_id, (ref[at] & np.uint32(0xFFFF)).astype(np.int64), score_of[at], base[word_of[at]], known[word_of[at]]))
                 for w in np.searchsorted(b.words, hot):
                     a, z = np.searchsorted(word, [w, w + 1])
-                    rows.append((HOT, int(b.words[w].view(np.int64)), 0, packed(b.ctx[a:z].astype(np.uint16), p[a:z]), None, float(base[w]), float(known[w])))
+                    for share in range(SHARES):
+                        some = np.flatnonzero(b.ctx[a:z] % SHARES == share) + a
+                        if len(some):
+                            rows.append((TABLE, share_key(b.words[w], share), 0, packed(b.ctx[some].astype(np.uint32), p[some]), None, float(base[w]), float(known[w])))
                 for i in range(0, len(rows), 64):
                     yield _rows(rows[i : i + 64])
 
@@ -474,18 +559,23 @@ def final_sums(states: DataFrame, history: list[Totals], seats: list[str]) -> Da
 
 
 def hot_sums(occurrences: DataFrame, tables: DataFrame) -> DataFrame:
-    """Step 4 for common words."""
+    """Step 4 for common words: each share's table goes ahead of its occurrences, so no table is copied per batch."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        at = p = None
         for batch in batches:
-            for batch_id, data, probabilities, base, known in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for kind, batch_id, data, base, known in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if kind == TABLE:
+                    (at, p), word = unpacked(data), (base, known)
+                    continue
                 ctx, doc = unpacked(data)
-                at, p = unpacked(probabilities)
                 d = np.cumsum(doc, dtype=np.uint16).astype(np.int64)
-                yield _rows([_sums(batch_id, d, p[np.searchsorted(at, ctx)], np.full(len(d), base), np.full(len(d), known))])
+                yield _rows([_sums(batch_id, d, p[np.searchsorted(at, ctx)], np.full(len(d), word[0]), np.full(len(d), word[1]))])
 
-    t = tables.select("key", F.col("data").alias("probabilities"), F.col("a").alias("base"), F.col("b").alias("known"))
-    return occurrences.join(t, "key").select("batch", "data", "probabilities", "base", "known").mapInArrow(run, FIELDS)
+    cols = ["kind", "key", "batch", "data", "a", "b"]
+    parts = int(occurrences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = tables.select(cols).union(occurrences.select(cols)).repartition(parts, "key").sortWithinPartitions("key", F.desc("kind"), "batch")
+    return both.select("kind", "batch", "data", "a", "b").mapInArrow(run, FIELDS)
 
 
 def per_document(rows: DataFrame, tokens: float, types: float) -> DataFrame:
@@ -536,23 +626,40 @@ def scores(docs: DataFrame, work: Workspace, sweeps: int = SWEEPS) -> DataFrame:
     get = lambda i: counts.get(i, 0.0)
     discount = [float(np.clip(get(2 + 2 * i) / max(1.0, get(2 + 2 * i) + 2 * get(3 + 2 * i)), 0.1, 0.95)) for i in range(3)]
     base = Totals(discount, get(1))
-    history, seats, states = [_gathered(of(TOTAL), base)], [work.path("seats")], of(STATE)
-    history = [_gathered(swept(states, history[0], 0, seats), base)]
+    seats, states = [work.path("seats")], of(STATE)
+
+    def after(s: int, last: Totals) -> Totals:
+        # the rows of a sweep are read twice, and a second run of the sweep would write its files again
+        rows = work.write(swept(states, last, s, seats), "swept")
+        found = _gathered(rows, last, s)
+        work.drop(rows)
+        return found
+
+    history = [after(0, base)]
     while len(history) <= max(sweeps, AVERAGED - 1) or not settled(*history[-2:]):
         seats.append(work.path("seats"))
-        history.append(_gathered(swept(states, history[-1], len(history), seats), base))
+        history.append(after(len(history), history[-1]))
+        if len(history) > AVERAGED + 1:
+            history[-AVERAGED - 2] = None
         if len(seats) > AVERAGED:
             work.drop(seats[-1 - AVERAGED])
     found = work.path("sums")
     final_sums(states, history[-AVERAGED:], seats[-AVERAGED:]).write.partitionBy("kind").parquet(found)
     sums = work.spark.read.schema(FIELDS).parquet(found)
-    hot = hot_sums(of(HOT), sums.where(F.col("kind") == HOT))
+    hot = hot_sums(of(HOT), sums.where(F.col("kind") == TABLE))
     cols = ["kind", "batch", "data"]
     return per_document(of(DOC).select(cols).union(sums.where(F.col("kind") == SUM).select(cols)).union(hot.select(cols)), get(0), get(1))
 
 
+def perplexity(found: DataFrame) -> DataFrame:
+    """held_out, perplexity, base_perplexity of all tokens, from the rows of `scores`."""
+    of = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
+    return found.groupBy("held_out").agg(of("score").alias("perplexity"), of("base_score").alias("base_perplexity"))
+
+
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(table(spark, sf_dir, "documents"), Workspace(spark, "op2"))
+    found = scores(table(spark, sf_dir, "documents"), Workspace(spark, "op2"))
+    return found.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 QUERIES = {"op2_lm": op2_lm}

@@ -18,7 +18,7 @@ from seine.llm.common import Workspace
 
 
 def test_lm(spark, big, odd):
-    for docs, least in ((big, 1.2), (odd, None)):
+    for docs, least in ((big, 1.5), (odd, None)):
         rows = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [None]) for r in docs.collect()]
         got = {(r["doc_id"], r["n_tokens"]): r for r in lm.scores(docs, Workspace(spark, "t")).collect()}
         train = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 != 2
@@ -41,10 +41,10 @@ def test_lm_probabilities_sum_to_one():
     """Over all words, at any context, after sweeps."""
     rng = np.random.default_rng(0)
     words = np.sort(rng.integers(0, 2**63, 40, dtype=np.uint64))
-    pairs = np.unique((rng.integers(0, 40, 900) << 16) | rng.integers(0, 5, 900) << 8 | rng.integers(0, 3, 900))
+    pairs = np.unique((rng.integers(0, 40, 900) << 32) | rng.integers(0, 3, 900) << lm.OWN_BITS | rng.integers(0, 5, 900))
     count = rng.geometric(0.1, len(pairs))
     # a bucket that knows every (word, context) pair, with zero counts where there is none
-    every = np.unique(np.concatenate((pairs, (np.arange(40)[:, None] << 16 | np.unique(pairs & 0xFFFF)).ravel())))
+    every = np.unique(np.concatenate((pairs, (np.arange(40)[:, None] << 32 | np.unique(pairs & 0xFFFFFFFF)).ravel())))
     full = np.zeros(len(every), np.int64)
     full[np.searchsorted(every, pairs)] = count
     b = lm.Bucket(words, every, full)

@@ -40,7 +40,7 @@ def test_one_sweep_reaches_the_conditional(c, above):
 def test_a_cell_leaves_its_first_table():
     """Twenty words with 10,000 customers each: sweeps take them past the 12 tables that 12 moves could open."""
     words = np.arange(1, 21, dtype=np.uint64)
-    b = lm.Bucket(words, (np.arange(20) << 16) | 0x6162, np.full(20, 10_000))
+    b = lm.Bucket(words, (np.arange(20) << 32) | 0x6162, np.full(20, 10_000))
     tables = b.spread([0.3, 0.5, 0.7])
     for s in range(3):
         totals = lm.Totals([0.3, 0.5, 0.7], 20)
@@ -49,3 +49,31 @@ def test_a_cell_leaves_its_first_table():
             np.add.at(totals.tables[level], at, t)
         tables = b.sweep(tables, totals, np.random.default_rng(s))
     assert tables[2].min() > 13
+
+
+def test_parameters_follow_the_seating():
+    """Counts of customers and tables drawn from known discounts and strengths: what is drawn for them lies near."""
+    rng = np.random.default_rng(4)
+    for d, s in ((0.3, 30.0), (0.8, 3.0)):
+        totals = lm.Totals([0.5, 0.5, 0.5], 10)
+        fits = np.zeros((3, len(lm.DISCOUNTS)))
+        for r in range(400):  # restaurants, each with its own dishes: a dish for each table
+            sizes = []
+            for _ in range(150):
+                p = np.array([*(x - d for x in sizes), s + d * len(sizes)])
+                k = rng.choice(len(p), p=p / p.sum())
+                if k == len(sizes):
+                    sizes.append(1)
+                else:
+                    sizes[k] += 1
+            totals.customers[2][r], totals.tables[2][r] = 150, len(sizes)
+            c = np.array(sizes)
+            fits[2] += [lm.stirling_sum(c, np.ones_like(c), x) for x in lm.DISCOUNTS]
+        totals.drawn(fits, rng)
+        assert abs(totals.discount[2] - d) <= 0.1 and s / 4 <= totals.strength[2] <= 4 * s
+
+
+def test_stirling_sums():
+    for d in (0.3, 0.9):
+        c, t = np.array([3, 600, 600, 700]), np.array([2, 1, 600, 40])
+        assert lm.stirling_sum(c, t, d) == pytest.approx(sum(logs(d, int(a))[int(b)] for a, b in zip(c, t)), abs=0.02)
