@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -253,6 +253,14 @@ class Totals:
         self.discount, self.strength, self.types = list(discount), list(STRENGTH), types
         self.customers, self.tables = [np.zeros(n, np.float32) for n in LEVELS], [np.zeros(n, np.float32) for n in LEVELS]
 
+    def __getstate__(self) -> bytes:
+        return packed(np.array([*self.discount, *self.strength, self.types]), *self.customers, *self.tables)
+
+    def __setstate__(self, data: bytes) -> None:
+        own, *sums = unpacked(data)
+        self.discount, self.strength, self.types = own[:3].tolist(), own[3:6].tolist(), float(own[6])
+        self.customers, self.tables = sums[:3], sums[3:]
+
     def drawn(self, fits: np.ndarray, rng: np.random.Generator) -> None:
         """Draw discount and strength of each level. fits: per level and discount the sum of log S(c, t) over all cells."""
         for level in range(3):
@@ -479,9 +487,9 @@ def _bucket(data: bytes) -> Bucket:
     return Bucket(words, np.repeat(np.arange(len(words)), n) << 32 | ctx.astype(np.int64), count)
 
 
-def swept(states: DataFrame, last: Totals, s: int, seats: list[str]) -> DataFrame:
-    """Step 3: totals and fits after sweep s (0: the start), which reads seats[s - 1] and writes seats[s]."""
-    shared = states.sparkSession.sparkContext.broadcast(last)
+def swept(states: DataFrame, shared: Broadcast, s: int, seats: list[str]) -> DataFrame:
+    """Step 3: totals and fits after sweep s (0: the start), which reads seats[s - 1] and writes seats[s]; shared: the
+    totals before it."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         last, totals, fits = shared.value, [np.zeros((2, n)) for n in LEVELS], np.zeros((3, len(DISCOUNTS)))
@@ -630,9 +638,11 @@ def scores(docs: DataFrame, work: Workspace, sweeps: int = SWEEPS) -> DataFrame:
 
     def after(s: int, last: Totals) -> Totals:
         # the rows of a sweep are read twice, and a second run of the sweep would write its files again
-        rows = work.write(swept(states, last, s, seats), "swept")
+        shared = work.spark.sparkContext.broadcast(last)
+        rows = work.write(swept(states, shared, s, seats), "swept")
         found = _gathered(rows, last, s)
         work.drop(rows)
+        shared.destroy()
         return found
 
     history = [after(0, base)]
