@@ -58,11 +58,11 @@ STRENGTH = (50.0, 20.0, 5.0)  # without context, the end of the word before, the
 DISCOUNTS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 STRENGTHS = (0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0)
 END_WORD = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of the hash of a word beside its ending; restaurants by level; restaurants in a slice of totals; shares of a
-#: common word's contexts.
+#: Bits of the hash of a word beside its ending; restaurants by level; restaurants in a slice of totals; least and most
+#: shares of a common word's contexts (an eighth of the buckets otherwise).
 OWN_BITS = 13
 LEVELS = (1, 256, 256 << OWN_BITS)
-SLICE, SHARES = 1 << 15, 16
+SLICE, SHARES = 1 << 15, (16, 512)
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -113,7 +113,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
 
 
-def split_words(docs: DataFrame, buckets: int) -> DataFrame:
+def split_words(docs: DataFrame, buckets: int, shares: int) -> DataFrame:
     """Step 1: rows of kind STATE (key: bucket), HOT (key: word) and DOC."""
 
     def batch_rows(batch: int, ids: Ids, words: list[np.ndarray], doc_ids: list[int | None]) -> list[tuple]:
@@ -149,8 +149,8 @@ def split_words(docs: DataFrame, buckets: int) -> DataFrame:
                 c, d = ctx[starts[h] : stops[h]], doc[starts[h] : stops[h]]
                 values, m = np.unique(c, return_inverse=True)
                 pre.append((values, np.bincount(m, train[d], len(values)).astype(np.uint32)))
-                for share in range(SHARES):
-                    some = c % SHARES == share
+                for share in range(shares):
+                    some = c % shares == share
                     if some.any():
                         rows.append((HOT, share_key(hashes[order[h]], share), batch, packed(c[some], np.diff(d[some], prepend=np.uint16(0))), None, None, None))
             data = packed(
@@ -278,16 +278,21 @@ class Totals:
             self.discount[level], self.strength[level] = float(d[k]), float(s[k])
 
 
-def stirling_sum(c: np.ndarray, t: np.ndarray, d: float) -> float:
-    """Sum of log S(c, t) over cells."""
+def stirling_sums(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Sum of log S(c, t) over cells, for each of DISCOUNTS."""
+    both, n = np.unique(c.astype(np.int64) << 32 | t.astype(np.int64), return_counts=True)
+    c, t = both >> 32, both & 0xFFFFFFFF
     small = c <= SMALL
-    total = float(stirling(d)[c[small], t[small]].sum())
-    c, t = c[~small].astype(float), t[~small].astype(float)
-    one, mid = t == 1, (t > 1) & (t < c)
-    total += float((log_gamma(c[one] - d) - math.lgamma(1 - d)).sum())
-    for i in range(0, int(mid.sum()), 4096):
-        total += float(large(c[mid][i : i + 4096], t[mid][i : i + 4096], d).sum())
-    return total
+    big, u = c[~small].astype(float), t[~small].astype(float)
+    one, mid = u == 1, (u > 1) & (u < big)
+    out = []
+    for d in DISCOUNTS:
+        x = np.zeros(len(big))
+        x[one] = log_gamma(big[one] - d) - math.lgamma(1 - d)
+        for i in np.array_split(np.flatnonzero(mid), max(1, mid.sum() // 4096)):
+            x[i] = large(big[i], u[i], d)
+        out.append(float(n[small] @ stirling(d)[c[small], t[small]] + n[~small] @ x))
+    return np.array(out)
 
 
 @lru_cache(32)
@@ -503,7 +508,7 @@ def swept(states: DataFrame, shared: Broadcast, s: int, seats: list[str]) -> Dat
                     totals[level][0] += np.bincount(place, c, LEVELS[level])
                     totals[level][1] += np.bincount(place, t, LEVELS[level])
                     some = c > 1
-                    fits[level] += [stirling_sum(c[some], t[some], d) for d in DISCOUNTS]
+                    fits[level] += stirling_sums(c[some], t[some])
         yield _rows([*_total_rows(totals), *((FIT, level << 8 | i, 0, None, None, float(x), None) for level in range(3) for i, x in enumerate(fits[level]))])
 
     return states.select("key", "data").mapInArrow(run, FIELDS)
@@ -527,7 +532,7 @@ def _sums(batch: int, docs: np.ndarray, score: np.ndarray, base: np.ndarray, kno
     return (SUM, 0, batch, packed(some, np.bincount(docs, score, n)[some], np.bincount(docs, base, n)[some], np.bincount(docs, known, n)[some].astype(np.uint32)), None, None, None)
 
 
-def final_sums(states: DataFrame, history: list[Totals], seats: list[str]) -> DataFrame:
+def final_sums(states: DataFrame, history: list[Totals], seats: list[str], shares: int) -> DataFrame:
     """Step 4 for the occurrences in buckets: SUM rows; and TABLE rows with the probabilities of common words (key: word
     and share of the contexts)."""
     shared = states.sparkSession.sparkContext.broadcast(history)
@@ -556,8 +561,8 @@ def final_sums(states: DataFrame, history: list[Totals], seats: list[str]) -> Da
                         rows.append(_sums(batch_id, (ref[at] & np.uint32(0xFFFF)).astype(np.int64), score_of[at], base[word_of[at]], known[word_of[at]]))
                 for w in np.searchsorted(b.words, hot):
                     a, z = np.searchsorted(word, [w, w + 1])
-                    for share in range(SHARES):
-                        some = np.flatnonzero(b.ctx[a:z] % SHARES == share) + a
+                    for share in range(shares):
+                        some = np.flatnonzero(b.ctx[a:z] % shares == share) + a
                         if len(some):
                             rows.append((TABLE, share_key(b.words[w], share), 0, packed(b.ctx[some].astype(np.uint32), p[some]), None, float(base[w]), float(known[w])))
                 for i in range(0, len(rows), 64):
@@ -623,10 +628,11 @@ def scores(docs: DataFrame, work: Workspace, sweeps: int = SWEEPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. sweeps: how many there are at least."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     buckets = max(64, input_bytes(docs, "text") >> 24)
+    shares = min(max(buckets // 8, SHARES[0]), SHARES[1])
     parts = max(buckets // 2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     path = work.path("states")
-    # common words' and documents' rows are dealt by batch, so that no word is hot
-    dealt = split_words(docs, buckets).repartition(parts, F.col("kind"), F.when(F.col("kind") == STATE, F.col("key")).otherwise(F.col("batch"))).sortWithinPartitions("kind", "key", "batch")
+    # common words' rows are dealt by word, share and batch, so that no word is hot
+    dealt = split_words(docs, buckets, shares).repartition(parts, F.col("kind"), F.when(F.col("kind") == STATE, F.col("key")).otherwise(F.xxhash64("key", "batch"))).sortWithinPartitions("kind", "key", "batch")
     build_states(dealt).write.partitionBy("kind").parquet(path)
     rows = work.spark.read.schema(FIELDS).parquet(path)
     of = lambda kind: rows.where(F.col("kind") == kind)
@@ -654,7 +660,7 @@ def scores(docs: DataFrame, work: Workspace, sweeps: int = SWEEPS) -> DataFrame:
         if len(seats) > AVERAGED:
             work.drop(seats[-1 - AVERAGED])
     found = work.path("sums")
-    final_sums(states, history[-AVERAGED:], seats[-AVERAGED:]).write.partitionBy("kind").parquet(found)
+    final_sums(states, history[-AVERAGED:], seats[-AVERAGED:], shares).write.partitionBy("kind").parquet(found)
     sums = work.spark.read.schema(FIELDS).parquet(found)
     hot = hot_sums(of(HOT), sums.where(F.col("kind") == TABLE))
     cols = ["kind", "batch", "data"]
