@@ -174,7 +174,9 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], floor: float = 0.0, mo
                     p = batch.column(1).flatten().to_numpy().reshape(-1, k)
                     for out, by in zip(part, points):
                         r = plan.rates(p, by)
-                        free = tokens * ((r > floor) & (r < (np.inf if most is None else most)))
+                        # closed at the bounds: at the start all rates may lie on the floor, and must count as free
+                        x = start + p @ by
+                        free = tokens * ((x >= floor) & (x <= (np.inf if most is None else most)))
                         # the integral of the rate, in a form that does not cancel
                         out[0] += tokens @ (r * (p @ by) - (r - start) ** 2 / 2)
                         out[1 : 1 + k] += (r * tokens) @ p

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from seine.llm import op04_mixing as mix
+from seine.llm.common import Workspace
 
 
 def fitted(spark, shares, targets, floor, most=None):
@@ -28,3 +29,16 @@ def test_missed_targets_are_reported(spark):
     with pytest.warns(UserWarning, match="targets missed"):
         plan, _ = fitted(spark, (0.3, 0.699, 0.0009, 0.0001), mix.TARGETS, 0.0, most=5.0)
     assert plan.missed[3] == pytest.approx(5e-4 - 0.2, abs=1e-4)
+
+
+def test_floor_of_one(spark, big, labels):
+    """In the pipeline no document goes: the rest are repeated until the targets are met."""
+    work = Workspace(spark, "t")
+    model = mix.fit_membership(big, mix.labelled_languages(big, labels), mix.TARGETS)
+    rows = work.write(mix.posteriors(big, model), "p")
+    plan = mix.fit_rates(rows, mix.TARGETS, 1.0, mix.MOST)
+    got = mix.rated(rows, plan).collect()
+    n, p, r = np.array([x["n_tokens"] for x in got]), np.array([x["p"] for x in got]), np.array([x["rate"] for x in got])
+    assert r.min() >= 1 and r.max() <= mix.MOST and r.max() > 1.2
+    share = (n * r) @ p
+    assert np.abs(share / share.sum() - [0.2, 0.4, 0.2, 0.2]).max() < 1e-3
