@@ -1,13 +1,16 @@
 """WARC: a writer that replaces repeated payloads by revisit records, and a salvage reader.
 
-The reader checks each record: the gzip member's checksum, the version line, the lengths, the closing blank lines and
-the payload digest. Where a check fails it looks for the next place that holds a valid record (a gzip member that
-starts with a version line, or a version line at a line's start; both are searched for everywhere), goes on from there, and logs the bytes between as a
-gap row. A record that is whole but whose digest is wrong is logged as a gap too, and the reader goes on behind it.
+The reader takes standard archives, plain or of gzip members that hold any number of records, and records of all types.
+It checks each record: the gzip member's checksum, the version line, the lengths, the closing blank lines and, where the
+head names one in an algorithm that is known (sha1, sha256, sha512, md5; hexadecimal or base32), the block digest and
+the payload digest. Where a check fails it looks for the next place that holds a valid record (a gzip member that starts
+with a version line, or a version line at a line's start; both are searched for everywhere), goes on from there, and
+logs the bytes between as a gap row. A record that is whole but whose digest is wrong is logged as a gap too, and the
+reader goes on behind it. Offsets are those of the file; records of one member share them.
 
 Writing: digests of payloads that occur more than once are counted first (with partial sums, so one very common
-payload is no hot group), written as a table, and joined back; both sides of that join are plain exchanges, which
-adaptive execution may split. Each task writes shards of bounded size under the shared folder, whole or not at all.
+payload is no hot group), written as a table, and joined back by an exchange at every size, which adaptive execution may
+split. Each task writes shards of bounded size under the shared folder, whole or not at all.
 
 Defined results: null html counts as the empty payload; a null url gives a record without a target; rows without an
 id are responses and nobody's original; rows that repeat both id and payload have the same type; payloads under 100
@@ -16,7 +19,9 @@ bytes are always responses; an empty table gives no rows; extra columns are left
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import mmap
 import re
 import uuid
 import zlib
@@ -71,6 +76,25 @@ class Bad(ValueError):
     pass
 
 
+#: Digest algorithms by the names that heads give them.
+ALGORITHMS = {"md5": 16, "sha1": 20, "sha-1": 20, "sha256": 32, "sha-256": 32, "sha512": 64, "sha-512": 64}
+
+
+def agrees(label: str | None, data: bytes) -> bool:
+    """Whether data has the digest that a head names; true where there is none, or its algorithm or form is not known."""
+    name, colon, value = (label or "").partition(":")
+    size = ALGORITHMS.get(name.strip().lower())
+    if not colon or size is None:
+        return True
+    value = value.strip()
+    own = hashlib.new(name.strip().lower().replace("-", ""), data).digest()
+    if len(value) == 2 * size:
+        return value.lower() == own.hex()
+    if len(value.rstrip("=")) == -(-8 * size // 5):
+        return value.rstrip("=").upper() == base64.b32encode(own).decode().rstrip("=")
+    return True
+
+
 def parsed(data: bytes, at: int) -> tuple[dict, int]:
     """The record at an offset and where it ends; Bad if a check fails."""
     if not (m := _VERSION_LINE.match(data, at)):
@@ -78,35 +102,36 @@ def parsed(data: bytes, at: int) -> tuple[dict, int]:
     stop = data.find(b"\r\n\r\n", m.end() - 2)
     if stop < 0:
         raise Bad("the head does not end")
-    head = {}
-    for line in data[m.end() : stop].split(b"\r\n"):
+    head, last = {}, None
+    for line in data[m.end() : stop].split(b"\r\n") if stop >= m.end() else []:
         name, colon, value = line.partition(b":")
+        if line[:1] in (b" ", b"\t") and last:  # a folded line goes on with the value before
+            head[last] += " " + line.strip().decode("utf-8", "replace")
+            continue
         if not colon:
             raise Bad("a head line has no colon")
-        head[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        last = name.strip().lower().decode("utf-8", "replace")
+        head[last] = value.strip().decode("utf-8", "replace")
     if not head.get("content-length", "").isdigit():
         raise Bad("no content length")
     start = stop + 4
     end = start + int(head["content-length"])
     if data[end : end + 4] != b"\r\n\r\n":
         raise Bad("the record does not end where its length says")
-    block = data[start:end]
-    http, blank, payload = block.partition(b"\r\n\r\n")
-    if not blank:
-        raise Bad("no HTTP head")
-    n = re.search(rb"(?i)^content-length:\s*(\d+)", http, re.M)
-    kind = head.get("warc-type")
-    digest = head.get("warc-payload-digest", "").removeprefix("sha256:")
-    if kind == "response":
-        if hashlib.sha256(payload).hexdigest() != digest:
-            raise Bad(f"digest\0{end + 4}")
-        size = len(payload)
-    elif kind == "revisit" and n:
-        size, payload = int(n[1]), b""
-    else:
-        raise Bad("an unknown type")
-    as_int = lambda k: int(head[k]) if head.get(k, "").lstrip("-").isdigit() else None
-    return {"page_id": as_int("warc-page-id"), "url": head.get("warc-target-uri"), "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": as_int("warc-refers-to-page-id"), "payload": payload}, end + 4
+    block, kind = data[start:end], head.get("warc-type")
+    if not kind:
+        raise Bad("no type")
+    payload, n = block, None
+    if head.get("content-type", "").lower().startswith("application/http") and head.get("warc-segment-number", "1") == "1":
+        http, blank, rest = block.partition(b"\r\n\r\n")
+        if blank:
+            payload, n = rest, re.search(rb"(?i)^content-length:[ \t]*(\d+)", http, re.M)
+    digest = head.get("warc-payload-digest")
+    if not agrees(head.get("warc-block-digest"), block) or (kind != "revisit" and not agrees(digest, payload)):
+        raise Bad(f"digest\0{end + 4}")
+    size, payload = (int(n[1]) if n else None, b"") if kind == "revisit" else (len(payload), payload)
+    as_int = lambda k: int(head[k]) if re.fullmatch(r"-?\d+", head.get(k, "")) else None
+    return {"page_id": as_int("warc-page-id"), "url": head.get("warc-target-uri"), "record_type": kind, "payload_bytes": size, "payload_digest": digest.removeprefix("sha256:") if digest else None, "refers_to": as_int("warc-refers-to-page-id"), "payload": payload}, end + 4
 
 
 def unzipped(data: memoryview, at: int, step: int = 1 << 15) -> tuple[bytes, int]:
@@ -128,18 +153,27 @@ def salvaged(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
     at, view = 0, memoryview(data)
     ahead = {"member": -1, "line": -1}  # the next places found so far; searched again only when passed
 
-    def one(at: int) -> tuple[int, dict]:
+    def some(at: int) -> tuple[int, list[dict | str]]:
+        """The end of what is at an offset, and its records; a gap of bytes within a member comes as its reason."""
         if data[at : at + 2] != b"\x1f\x8b":
             rec, end = parsed(data, at)
-            return end, rec
+            return end, [rec]
         text, end = unzipped(view, at)
-        try:
-            rec, stop = parsed(text, 0)
-        except Bad as e:
-            raise Bad(f"digest\0{end}") if str(e).startswith("digest") else e from None
-        if stop != len(text):
-            raise Bad("bytes follow the record in its member")
-        return end, rec
+        found, k, first = [], 0, None
+        while k < len(text):
+            try:
+                rec, k = parsed(text, k)
+                found.append(rec)
+            except Bad as e:
+                why, _, past = str(e).partition("\0")
+                first = first or e
+                found.append(f"in a member: {why}")
+                m = None if past else _VERSION_LINE.search(text, k + 1)
+                k = int(past) if past else m.start() if m else len(text)
+        if not any(isinstance(x, dict) for x in found):
+            why, _, past = str(first or "the member is empty").partition("\0")
+            raise Bad(f"{why}\0{end}" if past else why)
+        return end, found
 
     def valid(at: int) -> bool:
         try:
@@ -168,8 +202,9 @@ def salvaged(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
 
     while at < len(data):
         try:
-            end, rec = one(at)
-            yield at, end, rec
+            end, found = some(at)
+            for rec in found:
+                yield at, end, rec
             at = end
             continue
         except Bad as e:
@@ -195,7 +230,7 @@ def write_warc(pages: DataFrame, work: Workspace, to: str, least: int = LEAST, z
     p = p.withColumn("digest", F.sha2(F.encode("html", "utf-8"), 256))
     twice = p.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").drop("n")
     twice = work.write(twice, "repeated")
-    rows = p.join(twice, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
+    rows = p.join(twice.hint("merge"), "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
     end = "warc.gz" if zipped else "warc"
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -224,10 +259,19 @@ def write_warc(pages: DataFrame, work: Workspace, to: str, least: int = LEAST, z
 FIELDS = "uri string, start long, end long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, gap string"
 
 
+def held_open(uri: str):
+    """The bytes of an archive: mapped where it is a plain file, so that no more of it than is looked at takes memory."""
+    with opened(uri) as f:
+        try:
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        except (AttributeError, OSError, ValueError):  # a store's file, or an empty one
+            return f.read()
+
+
 def read_warc(shards: DataFrame, with_payload: bool = True) -> DataFrame:
     """A row per record, and a row with `gap` set (record_type null) per stretch of bytes that holds none.
 
-    `shards` has a column uri; an archive is read whole by one task, and our writer bounds its size."""
+    `shards` has a column uri; an archive is read by one task; our writer bounds its size, and a plain file is mapped."""
     names = [x.split()[0] for x in FIELDS.split(", ")] + ["payload"] * with_payload
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()] + [pa.binary()] * with_payload
     schema = pa.schema(list(zip(names, kinds)))
@@ -235,8 +279,7 @@ def read_warc(shards: DataFrame, with_payload: bool = True) -> DataFrame:
     def run(batches):
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                with opened(uri) as f:
-                    data = f.read()
+                data = held_open(uri)
                 rows, held = [], 0
                 for start, end, x in salvaged(data):
                     row = {"uri": uri, "start": start, "end": end} | ({"gap": x} if isinstance(x, str) else x)
@@ -251,12 +294,20 @@ def read_warc(shards: DataFrame, with_payload: bool = True) -> DataFrame:
     return shards.select("uri").mapInArrow(run, FIELDS + (", payload binary" if with_payload else ""))
 
 
+def quarantine(found: DataFrame, work: Workspace) -> DataFrame:
+    """The log of gaps (uri, start, end, gap), written, and read again."""
+    return work.write(found.where("gap is not null").select("uri", "start", "end", "gap"), "quarantine")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives that this run has written must be whole: a gap is an error, not a row less."""
     work = Workspace(spark, "op8")
     shards = write_warc(table(spark, sf_dir, "pages"), work, work.path("warc"))
     n = max(1, shards.count())
-    read = read_warc(shards.repartition(n), with_payload=False)
-    return read.where("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = work.write(read_warc(shards.repartition(n), with_payload=False), "found")
+    if not (gaps := quarantine(found, work)).isEmpty():
+        raise ValueError(f"damaged archives: {gaps.take(3)}")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {"op8_warc": op8_warc}

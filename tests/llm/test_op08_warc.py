@@ -47,3 +47,45 @@ def test_write_and_read(spark, tmp_path):
         assert got == sorted([(3, "revisit", 1, 120, ""), (1, "response", -1, 120, long), (1, "response", -1, 120, long), (2, "response", -1, 5, "short"), (4, "response", -1, 5, "short"), (5, "response", -1, 0, ""), (-1, "response", -1, 120, long), (6, "response", -1, 100, e), (7, "revisit", 6, 100, "")])
     work = Workspace(spark, "t8")
     assert w.read_warc(w.write_warc(pages.limit(0), work, work.path("warc"))).count() == 0
+
+
+def standard():
+    """Five records as other writers make them."""
+    import base64
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    sha1 = base64.b32encode(hashlib.sha1(b"<p>one</p>").digest()).decode()
+    rows = [
+        ("warcinfo", "application/warc-fields", b"software: test\r\n", ""), ("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", ""),
+        ("response", "application/http; msgtype=response", http + b"<p>one</p>", f"WARC-Payload-Digest: sha1:{sha1}\r\n"), ("response", "application/http; msgtype=response", http + b"<p>two</p>", ""),
+        ("metadata", "application/warc-fields", b"via: x\r\n", "WARC-Block-Digest: SHA-256:" + hashlib.sha256(b"via: x\r\n").hexdigest() + "\r\n"),
+    ]
+    return [f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{i}>\r\nContent-Type: {form}\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n" for i, (kind, form, block, more) in enumerate(rows)]
+
+
+def test_standard_records():
+    records = standard()
+    kinds = ["warcinfo", "request", "response", "response", "metadata"]
+    for data in (b"".join(records), b"".join(map(w.member, records)), w.member(b"".join(records))):
+        found = [x for _, _, x in w.salvaged(data)]
+        assert [x["record_type"] for x in found] == kinds and [x["payload"] for x in found][2:4] == [b"<p>one</p>", b"<p>two</p>"]
+    records[2] = records[2].replace(b"<p>one", b"<p>two")
+    for data in (b"".join(records), b"".join(map(w.member, records)), w.member(b"".join(records))):
+        found = [x for _, _, x in w.salvaged(data)]
+        assert [x if isinstance(x, str) else x["record_type"] for x in found][2].endswith("digest") and sum(isinstance(x, dict) for x in found) == 4
+
+
+def test_quarantine(spark):
+    work = Workspace(spark, "t8")
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}" * 50) for i in range(9)], "page_id long, url string, html string").coalesce(1)
+    shards = w.write_warc(pages, work, work.path("warc"))
+    uris = [r["uri"].removeprefix("file:") for r in shards.collect()]
+    spans = {r["page_id"]: (r["uri"].removeprefix("file:"), r["start"]) for r in w.read_warc(shards).collect()}
+    uri, start = spans[4]
+    with open(uri, "r+b") as f:
+        f.seek(start + 30)
+        f.write(b"damage")
+    found = work.write(w.read_warc(shards, with_payload=False), "found")
+    assert sorted(r["page_id"] for r in found.where("gap is null").collect()) == [0, 1, 2, 3, 5, 6, 7, 8] and uri in uris
+    (gap,) = w.quarantine(found, work).collect()
+    assert (gap["uri"].removeprefix("file:"), gap["start"]) == (uri, start) and gap["end"] > start and gap["gap"]
