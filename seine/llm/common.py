@@ -31,6 +31,12 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def parted(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """Rows with what `of` has for their key; those with a null key take no part in the join, where it would be hot."""
+    none = rows.where(F.col(key).isNull()).select("*", *(F.lit(None).cast(t).alias(c) for c, t in of.dtypes if c != key))
+    return rows.where(F.col(key).isNotNull()).join(of, key, "left").select(none.columns).union(none)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

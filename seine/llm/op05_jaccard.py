@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seine.llm.common import Workspace, claim, free_names, input_bytes, table
+from seine.llm.common import Workspace, claim, free_names, input_bytes, parted, table
 from seine.llm.components import components
 from seine.llm.shingles import Shingler, class_id
 
@@ -278,18 +278,12 @@ def _classes(docs: DataFrame, work: Workspace, k: int, percent: int, frequent: i
     return rows.select("doc_id", "n_shingles", "cid"), work.write(out, "leads")
 
 
-def _parted(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """Rows with what their class has; those without a class take no part in the join, where their null would be hot."""
-    none = rows.where("cid is null").select("*", *(F.lit(None).cast(t).alias(c) for c, t in of.dtypes if c != "cid"))
-    return rows.where("cid is not null").join(of, "cid").select(none.columns).union(none)
-
-
 def near_duplicates(docs: DataFrame, work: Workspace, k: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
     rows, leads = _classes(_ids(docs), work, k, percent, frequent)
     least = work.write(leads.groupBy("label").agg(F.min("first_id").alias("component_id")), "least")
     of = work.write(leads.join(least, "label").select("cid", "component_id"), "component_of")
-    return _parted(rows, of).select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return parted(rows, of, "cid").select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, work: Workspace, k: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:

@@ -6,7 +6,8 @@ stay small, and the number of tables follows from it: a pair at the threshold is
 most. Within a bucket all cosines are worked out in double precision. A bucket of more than BLOCK classes is cut into
 blocks, and each pair of blocks is a cell of its own: tasks stay bounded and no pair is left out. A pair that meets in
 several tables counts in the first of them. Cells emit counts per class and a spanning forest of their links, not
-pairs.
+pairs. Vectors travel to their buckets as they came (four bytes a component for floats) and become unit vectors in
+double precision there.
 
 Defined results: vectors that are null, empty or zero or that hold null or non-finite components, and rows with a null
 label, link with nothing (n_links 0, own component, kept); so do vectors of different lengths. A null vec_id links
@@ -24,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seine.llm.common import Workspace, table
+from seine.llm.common import Workspace, parted, table
 from seine.llm.components import components
 
 COSINE = 0.93
@@ -52,54 +54,69 @@ def patterns(v: np.ndarray, h: np.ndarray, planes: int) -> np.ndarray:
     return bits @ (1 << np.arange(planes))
 
 
+def kind_of(vectors: DataFrame) -> str:
+    """How components are kept: as floats if they are floats, else in double precision."""
+    kind = vectors.schema["embedding"].dataType
+    return "<f4" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "<f8"
+
+
+def unit_of(raw: bytes, kind: str) -> np.ndarray | None:
+    """The unit vector in double precision, or None if there is none. Scaled copies mostly give the same."""
+    x = np.frombuffer(raw, kind).astype(np.float64)
+    top = np.abs(x).max()
+    if not np.isfinite(top) or top == 0:
+        return None
+    x = x / top
+    return x / math.sqrt(float(x @ x))
+
+
 def classes_of(vectors: DataFrame) -> DataFrame:
-    """vec_id, cid (null: links with nothing), label, unit (double precision unit vector as bytes)."""
+    """vec_id, label, cid (null: links with nothing), vector (its components as bytes)."""
+    kind = kind_of(vectors)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cids, units = [], []
+            cids, kept = [], []
             for label, v in zip(batch.column(1).to_pylist(), batch.column(2)):
-                cid = unit = None
+                cid = raw = None
                 if label is not None and v.is_valid and v.values is not None and len(v.values) and v.values.null_count == 0:
-                    x = v.values.to_numpy().astype(np.float64)
-                    top = np.abs(x).max()
-                    if np.isfinite(top) and top > 0:
-                        x = x / top
-                        unit = (x / math.sqrt(float(x @ x))).tobytes()
-                        cid = int.from_bytes(hashlib.blake2b(unit, digest_size=8, key=str(label).encode()).digest(), "little", signed=True)
+                    data = v.values.to_numpy().astype(kind).tobytes()
+                    unit = unit_of(data, kind)
+                    if unit is not None:
+                        raw, cid = data, int.from_bytes(hashlib.blake2b(unit.tobytes(), digest_size=8, key=str(label).encode()[:64]).digest(), "little", signed=True)
                 cids.append(cid)
-                units.append(unit)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cids, pa.int64()), pa.array(units, pa.binary())], ["vec_id", "label", "cid", "unit"])
+                kept.append(raw)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cids, pa.int64()), pa.array(kept, pa.binary())], ["vec_id", "label", "cid", "vector"])
 
-    frame = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["label"].cast("string").alias("label"), vectors["embedding"].cast("array<double>").alias("embedding"))
-    return frame.mapInArrow(run, "vec_id long, label string, cid long, unit binary")
+    frame = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["label"].cast("string").alias("label"), vectors["embedding"].cast("array<float>" if kind == "<f4" else "array<double>").alias("embedding"))
+    return frame.mapInArrow(run, "vec_id long, label string, cid long, vector binary")
 
 
-def bucketed(classes: DataFrame, planes: int, tables: int) -> DataFrame:
-    """cid, m, unit once per table, with its bucket."""
+def bucketed(classes: DataFrame, planes: int, tables: int, kind: str) -> DataFrame:
+    """cid, m, vector once per table, with its bucket."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                labels, units = part.column(1).to_pylist(), part.column(3).to_pylist()
                 buckets = []
-                for label, unit in zip(labels, units):
-                    dim = len(unit) // 8
+                for label, raw in zip(part.column(1).to_pylist(), part.column(3).to_pylist()):
+                    unit = unit_of(raw, kind)
+                    dim = len(unit)
                     if dim not in kept:
                         kept[dim] = planes_for(dim, planes, tables)
-                    found = patterns(np.frombuffer(unit)[None], kept[dim], planes)[0]
+                    found = patterns(unit[None], kept[dim], planes)[0]
                     start = hashlib.blake2b(f"{dim}:{label}".encode(), digest_size=8)
                     for t, x in enumerate(found):
                         h = start.copy()
                         h.update(b"%d:%d" % (t, x))
                         buckets.append(int.from_bytes(h.digest(), "little", signed=True))
                 n = np.repeat(np.arange(part.num_rows), tables)
-                out = part.select(["cid", "m", "unit"]).take(pa.array(n))
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(np.tile(np.arange(tables, dtype=np.int32), part.num_rows)), *out.columns], ["bucket", "tab", "cid", "m", "unit"])
+                out = part.select(["cid", "m", "vector"]).take(pa.array(n))
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(np.tile(np.arange(tables, dtype=np.int32), part.num_rows)), *out.columns], ["bucket", "tab", "cid", "m", "vector"])
 
-    return classes.select("cid", "label", "m", "unit").mapInArrow(run, "bucket long, tab int, cid long, m long, unit binary")
+    return classes.select("cid", "label", "m", "vector").mapInArrow(run, "bucket long, tab int, cid long, m long, vector binary")
 
 
 def in_cells(rows: DataFrame, work: Workspace, block: int) -> DataFrame:
@@ -109,10 +126,10 @@ def in_cells(rows: DataFrame, work: Workspace, block: int) -> DataFrame:
     own = F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     r = r.withColumn("own", own)
     other = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return r.select("bucket", "tab", F.explode(other).alias("o"), "own", "cid", "m", "unit").select("bucket", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "tab", "cid", "m", "unit")
+    return r.select("bucket", "tab", F.explode(other).alias("o"), "own", "cid", "m", "vector").select("bucket", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "tab", "cid", "m", "vector")
 
 
-def linked_in_cells(cells: DataFrame, planes: int, tables: int, cosine: float) -> DataFrame:
+def linked_in_cells(cells: DataFrame, planes: int, tables: int, cosine: float, kind: str) -> DataFrame:
     """a, b, n: with b null, n vectors link with each vector of class a; else a link of a spanning forest."""
 
     def forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
@@ -131,8 +148,8 @@ def linked_in_cells(cells: DataFrame, planes: int, tables: int, cosine: float) -
                 out.append((a, b))
         return out
 
-    def cell(i: int, j: int, own, tab: int, cid, m, units) -> pa.RecordBatch | None:
-        v = np.frombuffer(b"".join(units), np.float64).reshape(len(cid), -1)
+    def cell(i: int, j: int, own, tab: int, cid, m, raws) -> pa.RecordBatch | None:
+        v = np.stack([unit_of(raw, kind) for raw in raws])
         left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(cid)),) * 2
         n, xs, ys, seen = np.zeros(len(cid), np.int64), [], [], None
         for at in range(0, len(left), 256):
@@ -187,24 +204,24 @@ def linked_in_cells(cells: DataFrame, planes: int, tables: int, cosine: float) -
 
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cells.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
-    return dealt.select("bucket", "i", "j", "own", "tab", "cid", "m", "unit").mapInArrow(run, "a long, b long, n long")
+    return dealt.select("bucket", "i", "j", "own", "tab", "cid", "m", "vector").mapInArrow(run, "a long, b long, n long")
 
 
 def near_vectors(vectors: DataFrame, work: Workspace, cosine: float = COSINE, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     rows = work.write(classes_of(vectors), "rows")
-    one = rows.where("cid is not null and vec_id is not null").groupBy("cid").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("unit").alias("unit"))
+    one = rows.where("cid is not null and vec_id is not null").groupBy("cid").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     classes = work.write(one, "classes")
     n = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    planes, tables = plan(n, cosine, recall)
-    found = work.write(linked_in_cells(in_cells(bucketed(classes, planes, tables), work, block), planes, tables, cosine), "found")
+    (planes, tables), kind = plan(n, cosine, recall), kind_of(vectors)
+    found = work.write(linked_in_cells(in_cells(bucketed(classes, planes, tables, kind), work, block), planes, tables, cosine, kind), "found")
     links = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
     labels = components(work, found.where("b is not null").select("a", "b"))
     lead = classes.select("cid", "first_id", "m").join(links, "cid", "left").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     lead = work.write(lead.select("cid", "first_id", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("label", "cid").alias("label")), "leads")
     least = work.write(lead.groupBy("label").agg(F.min("first_id").alias("component_id")), "least")
     of = work.write(lead.join(least, "label").select("cid", "n_links", "component_id"), "component_of")
-    out = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("cid")).alias("cid")).join(of, "cid", "left")
+    out = parted(rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("cid")).alias("cid")), of, "cid")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.expr("vec_id = component_id"))
 
 

@@ -97,3 +97,29 @@ def test_plan():
     for n in (0, 1, 100, 10**4, 10**8):
         planes, tables = v.plan(n)
         assert 1 - (1 - (1 - np.arccos(0.93) / np.pi) ** planes) ** tables >= v.RECALL
+
+
+def test_recall_of_planted_pairs(spark):
+    """20,000 vectors in one label, so 10 planes a table; 400 pairs planted at cosines from 0.93 to 0.95."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((20_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(400):
+        c = 0.931 + 0.019 * i / 400
+        side = rng.standard_normal(32)
+        side -= (side @ x[i]) * x[i]
+        x[10_000 + i] = c * x[i] + (1 - c * c) ** 0.5 * side / np.linalg.norm(side)
+    x = x.astype(np.float32)
+    assert v.plan(len(x))[0] >= 10
+    docs = spark.createDataFrame([(i, r, 1) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in v.near_vectors(docs, Workspace(spark, "t")).where("n_links > 0").collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = set()
+    for a in range(0, len(u), 1000):
+        p, q = np.nonzero(u[a : a + 1000] @ u.T >= v.COSINE)
+        links |= {(i + a, j) for i, j in zip(p.tolist(), q.tolist()) if i + a < j}
+    assert len(links) >= 400
+    n = {i: sum(i in e for e in links) for i in {i for e in links for i in e}}
+    found = sum(min(got[i]["n_links"], k) for i, k in n.items() if i in got)
+    assert found >= 0.99 * sum(n.values()) and all(got[i]["n_links"] <= n.get(i, 0) for i in got)
