@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,14 @@ def fingerprints(docs: DataFrame, arrays: DataFrame, content: str = "text") -> D
     return docs.select("doc_id", F.sha2(F.col(content), 256).alias("content_hash")).join(simhash(arrays), "doc_id")
 
 
-def near_pairs(fps: DataFrame, k: int = HAMMING_K, blocks: int = NUM_BLOCKS) -> DataFrame:
-    """Pairs i < j (columns id, fp) whose fingerprints differ in 1 to k bits: with more than k blocks one is equal."""
-    width = NUM_BITS // blocks
-    mask = (1 << width) - 1
-    keys = F.array(*(F.struct(F.lit(b).alias("no"), F.expr(f"shiftrightunsigned(fp, {b * width}) & {mask}L").alias("value")) for b in range(blocks)))
+def near_pairs(fps: DataFrame, k: int = HAMMING_K, blocks: int = 2 * NUM_BLOCKS - 2) -> DataFrame:
+    """Pairs i < j (columns id, fp) whose fingerprints differ in 1 to k bits. At least blocks - k blocks are equal, so two
+    such fingerprints agree in one of all choices of that many blocks (three of six: 20 keys of 32 bits about), which
+    keeps groups small where single blocks of 16 bits would grow with the corpus."""
+    edges = [NUM_BITS * b // blocks for b in range(blocks + 1)]
+    parts = [(1 << edges[b + 1]) - (1 << edges[b]) for b in range(blocks)]
+    masks = [sum(x) - (sum(x) >> 63 << 64) for x in combinations(parts, blocks - k)]
+    keys = F.array(*(F.struct(F.lit(no).alias("no"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("value")) for no, mask in enumerate(masks)))
     rows = fps.select("id", "fp", F.inline(keys))
     a, b = rows.alias("a"), rows.alias("b")
     on = [F.col("a.no") == F.col("b.no"), F.col("a.value") == F.col("b.value"), F.col("a.id") < F.col("b.id"), F.expr(f"bit_count(a.fp ^ b.fp) <= {k}")]

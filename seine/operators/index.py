@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seine.config import IDF_PLACES, LOG_TF_PLACES
-from seine.functions.text import term_rows, token_arrays
+from seine.functions.text import BIGRAMS, term_rows, token_arrays
 
 
 def arrays_of(docs: DataFrame, text: str = "text", stemmed: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -19,22 +19,22 @@ def postings(arrays: DataFrame, positions: bool = False) -> DataFrame:
     if not positions:
         found = term_rows(arrays).groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("tf"))
     else:
-        at = _importance if "spans" in arrays.columns else (lambda rows: rows.withColumn("importance", F.lit(0)))
-        found = at(_with_spans(arrays)).groupBy("doc_id", "term").agg(F.sum(1 + 0.5 * F.col("importance")).alias("tf"), F.sort_array(F.collect_list(F.struct("pos", "importance"))).alias("positions"))
+        found = _placed(arrays).groupBy("doc_id", "term").agg(F.sum(1 + 0.5 * F.col("importance")).alias("tf"), F.sort_array(F.collect_list(F.struct("pos", "importance"))).alias("positions"))
     return found.withColumn("log_tf", 1 + F.log10("tf"))
 
 
-def _with_spans(arrays: DataFrame) -> DataFrame:
-    if "spans" not in arrays.columns:
-        return term_rows(arrays)
-    return term_rows(arrays).join(arrays.select("doc_id", "spans"), "doc_id")
-
+def _placed(arrays: DataFrame) -> DataFrame:
+    """doc_id, pos, term, importance of tokens and bigrams.
 
-def _importance(rows: DataFrame) -> DataFrame:
-    """Token ordinals are looked up among character spans, as the semantics to match have it: the last span that starts
-    at or before the ordinal, if it reaches it."""
-    last = rows.withColumn("s", F.expr("try_element_at(filter(spans, s -> s.start <= pos), -1)"))
-    return last.withColumn("importance", F.expr("if(s is not null and pos <= s.end, s.importance, 0)")).drop("s", "spans")
+    Token ordinals are looked up among character spans, as the semantics to match have it: the last span that starts at or
+    before the ordinal, if it reaches it. Spans follow each other at a distance of one, so an array with each span's
+    importance repeated over its length and one more is indexed by the ordinal; it is made once for a document."""
+    if "spans" not in arrays.columns:
+        return term_rows(arrays).withColumn("importance", F.lit(0))
+    runs = "flatten(transform(filter(spans, s -> s.start < size(t)), s -> array_repeat(s.importance, least(s.end, size(t)) - s.start + 1)))"
+    rows = arrays.select("doc_id", "t", F.explode(F.array(F.expr(runs))).alias("by_pos"))  # explode: evaluated once
+    of = "coalesce(get(by_pos, i), 0) as importance"
+    return rows.select("doc_id", F.inline(F.expr(f"concat(transform(t, (x, i) -> struct(i as pos, x as term, {of})), transform({BIGRAMS}, (x, i) -> struct(i as pos, x as term, {of})))")))
 
 
 def norms(found: DataFrame) -> DataFrame:

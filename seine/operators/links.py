@@ -26,22 +26,40 @@ def link_graph(kept: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.join(owner.withColumnRenamed("doc_id", "dst"), "canon").select("src", "dst").distinct()
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, tables: Tables, damping: float = DAMPING, max_iter: int = MAX_ITER, tolerance: float | None = TOLERANCE) -> DataFrame:
+def pagerank(vertices: DataFrame, edges: DataFrame, tables: Tables, damping: float = DAMPING, max_iter: int = MAX_ITER, tolerance: float | None = TOLERANCE, together: int = 8) -> DataFrame:
     """id, rank. Ranks start at 1, the teleport is (1 - d) / N, and what dangling vertices hold is lost.
 
-    Edges are written with their source's degree once; each step is a join, a sum with partial sums, and a written table
-    of ranks that the next step and the test of convergence read. tolerance None runs max_iter steps."""
+    Edges are written with their source's degree once; each step is a join and a sum with partial sums. Several steps make
+    a job, whose ranks and last change are written. Where the last step of a job moves no rank by the tolerance, its
+    steps are gone through again one by one, and the first that does so gives the result. tolerance None runs max_iter
+    steps."""
     n = vertices.count()
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
     links = tables.write(edges.join(degree, "src"))
-    ranks = tables.write(vertices.select("id", F.lit(1.0).alias("rank")))
-    for _ in range(max_iter if n else 0):
-        sent = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.lit(damping) * (F.col("rank") / F.col("degree"))).alias("got"))
-        new = ranks.join(sent, "id", "left").select("id", (F.coalesce("got", F.lit(0.0)) + (1 - damping) / n).alias("rank"), F.col("rank").alias("old"))
-        new = tables.write(new)
+    every = vertices.select("id", F.lit(0.0).alias("got"))
+
+    def stepped(ranks: DataFrame, steps: int) -> DataFrame:
+        """id, rank after the steps, old (the rank one step before), written."""
+        for k in range(steps):
+            old, share = ranks, F.lit(damping) * (F.col("rank") / F.col("degree"))
+            sent = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").select(F.col("dst").alias("id"), share.alias("got"))
+            ranks = sent.union(every).groupBy("id").agg((F.sum("got") + (1 - damping) / n).alias("rank"))
+        return tables.write(ranks.join(old.select("id", F.col("rank").alias("old")), "id"))
+
+    def still(ranks: DataFrame) -> bool:
+        return tolerance is not None and ranks.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance
+
+    ranks, done = tables.write(vertices.select("id", F.lit(1.0).alias("rank"))), 0
+    while n and done < max_iter:
+        steps = min(together, max_iter - done)
+        new = stepped(ranks.select("id", "rank"), steps)
+        if steps > 1 and still(new):
+            together = 1  # the first step that moves little lies in this job
+            tables.drop(new)
+            continue
         tables.drop(ranks)
-        ranks = new
-        if tolerance is not None and new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
+        ranks, done = new, done + steps
+        if steps == 1 and still(new):
             break
     return ranks.select("id", "rank")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seine.config import MIN_IDF, RETURN_SIZE
+from seine.config import MAX_ITER, MIN_IDF, RETURN_SIZE, TOLERANCE
 from seine.functions.html import extract_text_udf, normalize_url_udf
 from seine.functions.text import bigram_rows, simhash, unigram_rows
 from seine.operators import dedup as dd
@@ -15,7 +15,6 @@ from seine.operators import search as se
 from seine.operators.state import Tables
 
 TERM, QUERY, RARE = "ering", "tion que de of the ering", "erha onth theand"
-STEPS = 10
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -140,7 +139,7 @@ def part_graph(spark, sf):
 def _ranks(spark, sf):
     vertices, edges = part_graph(spark, sf)
     tables = Tables(spark, "ranks")
-    return lk.pagerank(vertices, tables.write(edges), tables, max_iter=STEPS, tolerance=None)
+    return lk.pagerank(vertices, tables.write(edges), tables)
 
 
 def pagerank(spark, sf):
@@ -235,9 +234,11 @@ RANKS = (
     "edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL)"
     ", deg AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM edges), size AS (SELECT count(*) AS nv FROM part)"
     ", steps AS (SELECT 0 AS step, p_partkey AS id, 1.0::DOUBLE AS rank FROM part UNION ALL "
-    "SELECT x.step, x.id, sum(x.got) + 0.15 / (SELECT nv FROM size) FROM (SELECT s.step + 1 AS step, d.dst AS id, 0.85 * s.rank / d.degree AS got FROM steps s JOIN deg d ON d.src = s.id WHERE s.step < 10 "
-    "UNION ALL SELECT step + 1, id, 0 FROM steps WHERE step < 10) x GROUP BY x.step, x.id)"
-    ", ranks AS (SELECT id AS doc_id, round(rank, 6) AS rank FROM steps WHERE step = 10)"
+    f"SELECT x.step, x.id, sum(x.got) + 0.15 / (SELECT nv FROM size) FROM (SELECT s.step + 1 AS step, d.dst AS id, 0.85 * s.rank / d.degree AS got FROM steps s JOIN deg d ON d.src = s.id WHERE s.step < {MAX_ITER} "
+    f"UNION ALL SELECT step + 1, id, 0 FROM steps WHERE step < {MAX_ITER}) x GROUP BY x.step, x.id)"
+    # the first step that moves no rank by the tolerance, or the last
+    f", moved AS (SELECT a.step, max(abs(a.rank - b.rank)) AS most FROM steps a JOIN steps b ON a.id = b.id AND a.step = b.step + 1 GROUP BY a.step)"
+    f", ranks AS (SELECT id AS doc_id, round(rank, 6) AS rank FROM steps WHERE step = (SELECT coalesce(min(step), {MAX_ITER}) FROM moved WHERE most < {TOLERANCE}))"
 )
 SQL = {
     "tokens": f"WITH {UNI} SELECT doc_id, pos, term FROM uni",

@@ -1,4 +1,4 @@
-"""Continuous ingest of page files: each micro-batch is parsed and appended; the index is rebuilt from what has arrived."""
+"""Continuous ingest of page files: each micro-batch is parsed and appended; the index is built from the folder by seine.plans.build."""
 
 from __future__ import annotations
 

@@ -113,3 +113,35 @@ def test_build_search_and_stream(spark, tmp_path):
     assert [r["doc_id"] for r in se.tiered_search(index, "run", stemmed=True).collect()][0] in (0, 2)
     ingest(spark, str(tmp_path / "pages"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_pages_that_are_not_quite_json(spark, tmp_path):
+    import json
+
+    files = {
+        "a": b'{"url": "\\t http://x.org/a#top ", "content": "one\xff two"}', "b": json.dumps([{"url": "http://x.org/b", "content": "x"}]).encode(),
+        "c": b'{"url": "http://x.org/c", "content": "x"} trailing', "d": b'{"url": "", "content": "x"}', "e": b'{"url": "http://x.org/e"}', "f": b"",
+        "g": b'{"url": 7, "content": "x"}', "h": b'{"url": "http://[x#y", "content": 5}',
+    }
+    for name, data in files.items():
+        (tmp_path / f"{name}.json").write_bytes(data)
+    (tmp_path / "z.txt").write_bytes(files["a"])
+    from seine.sources.pages import read_pages
+
+    got = sorted((r["url"], r["content"]) for r in read_pages(spark, str(tmp_path)).collect())
+    assert got == [("http://[x", None), ("http://x.org/a", "one two"), ("http://x.org/e", None)]
+
+
+def test_near_pairs_miss_none(spark, tmp_path):
+    import random
+
+    from seine.operators.dedup import near_pairs
+
+    rng = random.Random(6)
+    fps = [rng.getrandbits(64) for _ in range(30)]
+    for x in list(fps):
+        for k in (1, 2, 3, 4):
+            fps.append(x ^ sum(1 << i for i in rng.sample(range(64), k)))
+    signed = [x - (x >> 63 << 64) for x in fps]
+    got = {tuple(r) for r in near_pairs(spark.createDataFrame(list(enumerate(signed)), "id long, fp long")).collect()}
+    assert got == {(i, j) for j in range(len(fps)) for i in range(j) if 1 <= (fps[i] ^ fps[j]).bit_count() <= 3}
