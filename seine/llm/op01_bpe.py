@@ -130,13 +130,13 @@ class Memo(TrieBpe):
         self.forget()
 
     def forget(self) -> None:
-        self.special = {s: (struct.pack("<I", i), self.decode([i])) for s, i in self.added.items()}
-        self.young, self.old, self.size = dict(self.special), {}, 0
+        self.fixed = {s: (struct.pack("<I", i), self.decode([i])) for s, i in self.added.items()}
+        self.young, self.old, self.size = dict(self.fixed), {}, 0
 
     def learn(self, rows: list[list[str]]) -> dict[str, tuple[bytes, str]]:
         """What is known of all runs of the rows."""
         if self.size > self.most:
-            self.young, self.old, self.size = dict(self.special), self.young, 0
+            self.young, self.old, self.size = dict(self.fixed), self.young, 0
         young, old = self.young, self.old
         new = []
         for c in set().union(*rows).difference(young):
