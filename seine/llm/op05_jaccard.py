@@ -15,8 +15,10 @@ Links are pairs of texts whose sets of word shingles have 100 * |intersection| >
    comparison with each other: components of links are the result, and a link inside a component adds nothing to it.
 5. Then members of different components that still meet, under a rare token or any pair of common ones, are compared
    if their sizes allow a link without the tokens that no other prefix holds: where the other's prefix reaches beyond
-   the tokens without a level, it lacks all such tokens of this one. No list is gathered in one place; joins stream and
-   adaptive execution splits them.
+   the tokens without a level, it lacks all such tokens of this one. Nor can it have the tokens before the meeting: two
+   linked sets meet at their first shared rare token, before which they share common ones alone, or else at their first
+   two shared tokens, before which they share none. What is left behind the meeting must be enough for a link. No list
+   is gathered in one place; joins stream and adaptive execution splits them.
 6. A pair is dropped early only if its prefixes prove that it cannot link: up to the smaller of their last tokens both
    sets are known, and what is left of the smaller set bounds what else they can share. All other pairs are compared
    on whole sets of 64-bit shingle hashes, made again from the whole texts. A bitmap (16 bits a wanted text, at most
@@ -212,17 +214,19 @@ def _classes(docs: DataFrame, work: Workspace, k: int, percent: int, frequent: i
     rows = work.write(prefixes(docs, k, percent, common_shingles(docs, k)), "prefixes")
     one = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("prefix", "plain", "deep")))
     classes = work.write(one, "classes")
-    member = classes.select("cid", "n", F.explode("prefix").alias("token"))
+    member = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
     lists = work.write(member.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "lists")
-    met = work.write(member.join(lists, "token").select("token", "m", "cid", "n"), "met")
+    met = work.write(member.join(lists, "token").select("token", "m", "cid", "n", "pos"), "met")
     # how many of a class's tokens without a level no other prefix holds
     held = met.where("shiftrightunsigned(token, 58) = 0").groupBy("cid").agg(F.count("*").alias("held"))
     own = work.write(classes.select("cid", "plain", "deep").join(held, "cid", "left").select("cid", (F.col("plain") - F.coalesce("held", F.lit(0))).alias("alone"), "deep"), "own")
-    known = work.write(met.join(own, "cid"), "known")
+    before = Window.partitionBy("cid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    shared = F.coalesce(F.count(F.when(F.col("m") > frequent, 1)).over(before), F.lit(0))
+    known = work.write(met.join(own, "cid").withColumn("spent", F.col("pos") - shared), "known")
     work.drop(met, lists, own)
 
-    def may(x: str, y: str):
-        most = f"least({x}.n - if({y}.deep, {x}.alone, 0), {y}.n - if({x}.deep, {y}.alone, 0))"
+    def may(x: str, y: str, *more: str):
+        most = f"least({', '.join([f'{x}.n - if({y}.deep, {x}.alone, 0)', f'{y}.n - if({x}.deep, {y}.alone, 0)', *more])})"
         return F.expr(f"100 * {most} >= {percent} * ({x}.n + {y}.n - {most})")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -252,7 +256,7 @@ def _classes(docs: DataFrame, work: Workspace, k: int, percent: int, frequent: i
     work.drop(known)
     # sizes of linked sets lie in the same band or in neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100.01 / percent))
-    banded = named.select("*", F.explode(F.array(band, band + 1)).alias("band"))
+    banded = named.select("*", band.alias("home"), F.explode(F.array(band, band + 1)).alias("band"))
     mixed = work.write(banded.groupBy("token", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "band"), "mixed")
     left = work.write(banded.join(mixed, ["token", "band"]), "left")
     work.drop(named, mixed)
@@ -260,13 +264,16 @@ def _classes(docs: DataFrame, work: Workspace, k: int, percent: int, frequent: i
     def meetings(index: DataFrame, keys: list[str]) -> DataFrame:
         x, y = index.alias("x"), index.hint("merge").alias("y")
         same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys]
-        return x.join(y, [*same, F.col("x.cid") < F.col("y.cid"), F.col("x.label") != F.col("y.label"), may("x", "y")]).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+        once = F.col("x.band") == F.greatest("x.home", "y.home")  # of the bands that both are in, one
+        enough = may("x", "y", "x.n - x.spent", "y.n - y.spent")
+        return x.join(y, [*same, F.col("x.cid") < F.col("y.cid"), F.col("x.label") != F.col("y.label"), once, enough]).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
 
     rare = meetings(left.where(F.col("m") <= frequent), ["token", "band"])
-    of = ["cid", "n", "label", "alone", "deep", "band"]
-    common = left.where(F.col("m") > frequent).groupBy(*of).agg(F.array_sort(F.collect_list("token")).alias("t")).where("size(t) > 1")
-    first = common.select(*of, "t", F.posexplode("t").alias("i", "t1"))
-    combined = first.select(*of, "t1", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("t2"))  # t itself stays behind
+    of = ["cid", "n", "label", "alone", "deep", "home", "band"]
+    common = left.where(F.col("m") > frequent).groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t")).where("size(t) > 1")
+    first = common.select(*of, "t", F.posexplode("t").alias("i", "a"))
+    both = first.select(*of, "a", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("b"))  # t itself stays behind
+    combined = both.select(*of, F.col("a.token").alias("t1"), F.col("b.token").alias("t2"), (F.col("b.pos") - 1).alias("spent"))
     # lists that lie in one component alone make no meeting
     kept = work.write(combined.groupBy("t1", "t2", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("t1", "t2", "band"), "kept")
     more = rare.union(meetings(work.write(combined.join(kept.hint("merge"), ["t1", "t2", "band"]), "combined"), ["t1", "t2", "band"])).distinct()
