@@ -2,13 +2,14 @@
 
 Two views of a document: its words (hashed words and word beginnings), and its page metadata (language, source, length
 and layout counts, without any word). For each target (quality, toxicity) a classifier per view starts from the same
-labelled rows. In each round both are calibrated on rows held back, and each hands those documents of an unlabelled
-pool of which it is sure to the other as labelled ones, at most HANDED per class. In the end both views, calibrated,
-are combined by a logistic regression on the rows held back, and all documents are scored whole.
+labelled rows. In each round both are calibrated on rows held back and score all documents, and each hands those of
+which it is surest, at most HANDED per class and at SURE or more, to the other as labelled ones. In the end both views,
+calibrated, are combined by a logistic regression on the rows held back, and all documents are scored whole.
 
-Bounds: the fit uses at most LABELLED labelled rows and POOL unlabelled documents, those first in the order of a hash
-of doc_id, so it does not grow with the tables; it runs on the driver on their feature ids. The model has a fixed size
-and goes to the workers; scoring is one pass without a shuffle.
+The features of all documents are written once, as gaps of sorted ids; a round is a pass over them. Copies of a document
+(equal text, language, source and length) count once among the surest. Layout figures are cut at quantiles of the whole
+corpus. Bounds: LABELLED labelled documents, those first in the order of a hash of doc_id, and what HANDED and ROUNDS
+let through are fitted on the driver, on their feature ids. The model has a fixed size and goes to the workers.
 
 Defined results: a null text counts as empty, other null columns as values of their own; labels for unknown documents
 are unused; labels that repeat are averaged (quality: at least half, toxic: at least half); a null label is no label
@@ -18,20 +19,21 @@ for quality, 0 for toxicity). Repeated rows score alike; extra columns pass thro
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seine.llm.common import claim, free_names, release, table
+from seine.llm.common import Workspace, claim, free_names, release, table
 from seine.llm.logistic import Rows, fit, newton, sigmoid
 
-LABELLED, POOL, ROUNDS, HANDED, SURE = 8000, 4000, 3, 400, 0.97
+LABELLED, ROUNDS, HANDED, SURE = 8000, 3, 400, 0.97
 SIZE = 1 << 18
 HELD_BACK = 4  # every fourth labelled row
 BINS = 8
@@ -77,10 +79,10 @@ def meta_view(text: str | None, lang, source, n_chars, words: int, distinct: int
 
 
 class Meta:
-    """One-hot ids of the metadata view; cuts of the layout figures are quantiles of the fitted rows."""
+    """One-hot ids of the metadata view, from the cuts of the layout figures."""
 
-    def __init__(self, rows: np.ndarray):
-        self.cuts = np.quantile(rows[:, 2:], np.arange(1, BINS) / BINS, axis=0).T if len(rows) else np.zeros((LAYOUT, BINS - 1))
+    def __init__(self, cuts: np.ndarray):
+        self.cuts = cuts
         self.size = 16 + 64 + LAYOUT * BINS + BINS * BINS
 
     def ids(self, rows: np.ndarray) -> np.ndarray:
@@ -94,39 +96,44 @@ class Target:
     """Both views of one target, their calibrations and their combination."""
 
     def __init__(self, base: float):
-        self.base, self.w, self.b, self.both = base, None, (0.0, 0.0), np.zeros(3)
+        self.base, self.w, self.b, self.both, self.learns = base, None, (0.0, 0.0), np.zeros(3), False
         self.cal = [np.array([1.0, 0.0])] * 2
 
-    def learn(self, views: list[list[np.ndarray]], sizes: list[int], y: np.ndarray, pool: list[list[np.ndarray]]) -> None:
+    def start(self, views: list[list[np.ndarray]], sizes: list[int], y: np.ndarray) -> None:
         """y: 0, 1, or nan where a row has no label."""
         known = np.flatnonzero(~np.isnan(y))
         held, train = known[::HELD_BACK], np.setdiff1d(known, known[::HELD_BACK])
         if len(known):
             self.base = float(y[known].mean())
-        if len({*y[train]}) < 2 or len({*y[held]}) < 2:
-            return
-        extra: list[list[tuple[int, float]]] = [[], []]
-        taken: list[set[int]] = [set(), set()]
-        held_rows = [Rows([v[i] for i in held]) for v in views]
-        pool_rows = [Rows(p) for p in pool]
-        for round_ in range(ROUNDS + 1):
-            models = []
-            for k in (0, 1):
-                rows = Rows([views[k][i] for i in train] + [pool[k][i] for i, _ in extra[k]])
-                models.append(fit(rows, np.append(y[train], [v for _, v in extra[k]]), sizes[k]))
-                w, b = models[k]
-                self.cal[k] = newton((held_rows[k].dot(w) + b)[:, None], y[held])
-            if round_ == ROUNDS or not len(pool[0]):
-                break
-            for k in (0, 1):  # what view k is sure of goes to the other view
-                w, b = models[k]
-                p = sigmoid((pool_rows[k].dot(w) + b) * self.cal[k][0] + self.cal[k][1])
-                for value, sure in ((1.0, p), (0.0, 1 - p)):
-                    best = [i for i in np.argsort(-sure, kind="stable")[: 4 * HANDED] if sure[i] >= SURE and i not in taken[1 - k]][:HANDED]
-                    extra[1 - k] += [(int(i), value) for i in best]
-                    taken[1 - k].update(int(i) for i in best)
-        self.w, self.b = [w for w, _ in models], tuple(b for _, b in models)
-        self.both = newton(self.logits([r.dot(w) for r, w in zip(held_rows, self.w)]), y[held])
+        self.learns = len({*y[train]}) == 2 and len({*y[held]}) == 2
+        self.sizes, self.y, self.held_y = sizes, [y[train]] * 2, y[held]
+        self.rows, self.held = [[v[i] for i in train] for v in views], [Rows([v[i] for i in held]) for v in views]
+        self.taken: list[set[int]] = [set(), set()]
+
+    def refit(self) -> None:
+        models = [fit(Rows(rows), y, size) for rows, y, size in zip(self.rows, self.y, self.sizes)]
+        self.w, self.b = [w.astype(np.float32) for w, _ in models], tuple(b for _, b in models)
+        self.cal = [newton((h.dot(w) + b)[:, None], self.held_y) for h, w, b in zip(self.held, self.w, self.b)]
+
+    def take(self, k: int, value: int, keys: list[int], rows: list[np.ndarray]) -> None:
+        """Documents that the other view handed to view k."""
+        self.taken[k].update(keys)
+        self.rows[k] += rows
+        self.y[k] = np.append(self.y[k], np.full(len(rows), float(value)))
+
+    def finish(self) -> None:
+        self.both = newton(self.logits([h.dot(w) for h, w in zip(self.held, self.w)]), self.held_y)
+        del self.rows, self.held, self.y, self.held_y, self.taken
+
+    def views(self) -> Target:
+        """The views alone, without the rows they are fitted on."""
+        out = Target(self.base)
+        out.w, out.b, out.cal = self.w, self.b, self.cal
+        return out
+
+    def sure(self, k: int, dots: np.ndarray) -> np.ndarray:
+        """Calibrated probabilities of view k."""
+        return sigmoid((dots + self.b[k]) * self.cal[k][0] + self.cal[k][1])
 
     def logits(self, dots: list[np.ndarray]) -> np.ndarray:
         return np.stack([np.clip((d + b) * c[0] + c[1], -20, 20) for d, b, c in zip(dots, self.b, self.cal)], axis=1)
@@ -147,43 +154,122 @@ def _view(docs: DataFrame) -> list:
 
 class Model:
     def __init__(self, docs: DataFrame, labels: DataFrame):
-        """Fit on bounded samples of `labels` (doc_id, quality, toxic) and of documents without a label."""
+        """Fit on a bounded sample of `labels` (doc_id, quality, toxic) and on the surest of all documents."""
+        work = Workspace(docs.sparkSession, "quality")
+        feats = work.write(features(docs), "features", compression="zstd")
         one = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col("quality").cast("double")).alias("q"), F.avg(F.col("toxic").cast("double")).alias("x"))
-        first = [F.xxhash64("doc_id"), F.col("doc_id")]
-        ids = docs.select(docs["doc_id"].cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-        # both lists are cut to their bounds before any text is read, so they may be broadcast
-        some = ids.join(one, "doc_id").orderBy(*first).limit(LABELLED)
-        pool = ids.join(one, "doc_id", "left_anti").orderBy(*first).limit(POOL).select("doc_id", F.lit(None).cast("double").alias("q"), F.lit(None).cast("double").alias("x"))
-        texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *(c.alias(n.split()[0]) for c, n in zip(_view(docs), VIEW)))
-        wanted = some.withColumn("p", F.lit(0)).union(pool.withColumn("p", F.lit(1)))
-        t = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "p", "q", "x", "text", "lang", "source", "n_chars").mapInArrow(_extract, "doc_id long, p int, q double, x double, ids array<int>, meta array<double>").toArrow().sort_by("doc_id")
-        p, q, x = (t.column(c).to_numpy(zero_copy_only=False) for c in ("p", "q", "x"))
-        meta = np.array(t.column("meta").to_pylist(), float).reshape(-1, 2 + LAYOUT)
-        words = [np.asarray(r.values) for r in t.column("ids")]
-        self.meta = Meta(meta)
-        hot = list(self.meta.ids(meta)) if len(meta) else []
-        lab, unl = np.flatnonzero(p == 0), np.flatnonzero(p == 1)
-        views, pools = [[v[i] for i in lab] for v in (words, hot)], [[v[i] for i in unl] for v in (words, hot)]
+        # the list is cut to its bound before any features are read, so it may be broadcast
+        some = feats.select("doc_id", "key").where("doc_id is not null").distinct().join(one, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(LABELLED)
+        t = feats.join(F.broadcast(some), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "q", "x", "gaps", "meta").toArrow().sort_by([("doc_id", "ascending"), ("key", "ascending")])
+        self.meta = Meta(_cuts(feats))
+        views, (q, x) = self._views(t), (t.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("q", "x"))
         self.quality, self.toxic = Target(1.0), Target(0.0)
         for target, y in ((self.quality, q), (self.toxic, x)):
-            y = y[lab].astype(float)
-            target.learn(views, [SIZE, self.meta.size], np.where(np.isnan(y), np.nan, (y >= 0.5).astype(float)), pools)
-            if target.w is not None:
-                target.w = [w.astype(np.float32) for w in target.w]
-        del t, words, views, pools, hot
+            target.start(views, [SIZE, self.meta.size], np.where(np.isnan(y), np.nan, (y >= 0.5).astype(float)))
+        known, learning = set(t.column("key").to_pylist()), [g for g in (self.quality, self.toxic) if g.learns]
+        del t, views
+        for round_ in range(ROUNDS + 1 if learning else 0):
+            for target in learning:
+                target.refit()
+            if round_ < ROUNDS:
+                self._hand_over(feats, learning, known)
+        for target in learning:
+            target.finish()
+        work.drop(feats)
         release()
 
+    def _views(self, t: pa.Table) -> list[list[np.ndarray]]:
+        meta = np.array(t.column("meta").to_pylist(), float).reshape(-1, 2 + LAYOUT)
+        return [_ids(t.column("gaps")), list(self.meta.ids(meta)) if len(meta) else []]
+
+    def _hand_over(self, feats: DataFrame, targets: list[Target], known: set[int]) -> None:
+        """What view k of a target is sure of goes to its other view."""
+        found = surest(feats, targets, self.meta, known).collect()
+        if not found:
+            return
+        wanted = feats.sparkSession.createDataFrame([(k,) for k in sorted({r["key"] for r in found})], "key long")
+        t = feats.join(F.broadcast(wanted), "key").dropDuplicates(["key"]).select("key", "gaps", "meta").toArrow()
+        views, at = self._views(t), {k: i for i, k in enumerate(t.column("key").to_pylist())}
+        groups: dict[int, list[int]] = {}
+        for g, key in sorted((r["g"], r["key"]) for r in found):
+            groups.setdefault(g, []).append(key)
+        for g, keys in groups.items():
+            to = 1 - g // 2 % 2
+            targets[g // 4].take(to, g % 2, keys, [views[to][at[k]] for k in keys])
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """For each row its doc_id, a key that equal documents share, the gaps of its sorted word ids, its metadata figures."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *(c.alias(n.split()[0]) for c, n in zip(_view(docs), VIEW)))
+    return rows.select("doc_id", F.xxhash64("text", "lang", "source", "n_chars").alias("key"), "text", "lang", "source", "n_chars").mapInArrow(_extract, "doc_id long, key long, gaps array<int>, meta array<double>")
+
 
 def _extract(batches) -> Iterator[pa.RecordBatch]:
     claim("quality", _forget)
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(4, 8)]
-        ids, meta = [], []
-        for text, lang, source, n_chars in zip(*cols):
-            f, n, d = text_view(text)
-            ids.append(f.astype(np.int32))
-            meta.append(meta_view(text, lang, source, n_chars, n, d))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.float64()))], ["doc_id", "p", "q", "x", "ids", "meta"])
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            gaps, meta = [], []
+            for text, lang, source, n_chars in zip(*(part.column(i).to_pylist() for i in range(2, 6))):
+                f, n, d = text_view(text)
+                gaps.append(np.diff(f, prepend=0).astype(np.int32))
+                meta.append(meta_view(text, lang, source, n_chars, n, d))
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(gaps, pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.float64()))], ["doc_id", "key", "gaps", "meta"])
+
+
+def _ids(gaps) -> list[np.ndarray]:
+    """Feature ids of each row of a column of gaps."""
+    return [np.cumsum(r.values.to_numpy(zero_copy_only=False), dtype=np.int32) for r in gaps]
+
+
+def _cuts(feats: DataFrame) -> np.ndarray:
+    """Quantiles of the layout figures over all rows, from counts by thousandths (figures over 64 count as 64)."""
+    value = F.ceil(F.least("col", F.lit(64.0)) * 1000).alias("value")
+    rows = feats.select(F.posexplode("meta")).where("pos >= 2").groupBy("pos", value).count().toArrow().sort_by([("pos", "ascending"), ("value", "ascending")])
+    pos, values, n = (rows.column(c).to_numpy() for c in ("pos", "value", "count"))
+    cuts = np.zeros((LAYOUT, BINS - 1))
+    for j in range(LAYOUT if len(pos) else 0):
+        v, upto = values[pos == 2 + j], np.cumsum(n[pos == 2 + j])
+        cuts[j] = v[np.searchsorted(upto, upto[-1] * np.arange(1, BINS) / BINS)] / 1000
+    return cuts
+
+
+def _best(key: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The HANDED surest of different keys; sureness counts to three places, then the lower key."""
+    key, at = np.unique(key, return_index=True)
+    top = np.lexsort((key, -sure[at]))[:HANDED]
+    return key[top], sure[at][top]
+
+
+def surest(feats: DataFrame, targets: list[Target], meta: Meta, known: set[int]) -> DataFrame:
+    """(g, key): for each target, view and class, g = (target * 2 + view) * 2 + class, the HANDED surest of all documents
+    but the labelled ones (`known`) and those the other view has. Each task keeps its own best, so few rows shuffle."""
+    shared = feats.sparkSession.sparkContext.broadcast(([t.views() for t in targets], meta, np.array(sorted(known), np.int64), [[np.array(sorted(x), np.int64) for x in t.taken] for t in targets]))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        targets, meta, known, taken = shared.value
+        none = np.empty(0, np.int64), np.empty(0, np.int32)
+        best = [none] * (4 * len(targets))
+        for batch in batches:
+            keys, rows = batch.column(0).to_numpy(), Rows(_ids(batch.column(1)))
+            if not len(keys):
+                continue
+            hot = meta.ids(np.array(batch.column(2).to_pylist(), float))
+            free = ~np.isin(keys, known)
+            for i, t in enumerate(targets):
+                for k, dots in enumerate((rows.dot(t.w[0]), t.w[1][hot].sum(axis=1))):
+                    p, may = t.sure(k, dots), free & ~np.isin(keys, taken[i][1 - k])
+                    for value, sure in ((0, 1 - p), (1, p)):
+                        g, ok = (2 * i + k) * 2 + value, may & (sure >= SURE)
+                        best[g] = _best(np.append(best[g][0], keys[ok]), np.append(best[g][1], np.rint(sure[ok] * 1000).astype(np.int32)))
+        for g, (key, sure) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), g, np.int32)), pa.array(key, pa.int64()), pa.array(sure.astype(np.int32))], ["g", "key", "sure"])
+
+    rows = feats.select("key", "gaps", "meta").mapInArrow(run, "g int, key long, sure int").groupBy("g", "key").agg(F.max("sure").alias("sure"))
+    parts = math.isqrt(feats.rdd.getNumPartitions()) + 1  # two steps, so that no task gets all tasks' best
+    for by in (("g", F.pmod(F.xxhash64("key"), F.lit(parts))), ("g",)):
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("sure"), "key"))).where(F.col("n") <= HANDED).drop("n")
+    return rows.select("g", "key")
 
 
 def scored(docs: DataFrame, model: Model) -> tuple[DataFrame, str, str]:

@@ -99,6 +99,32 @@ def test_quality(spark, odd, sf):
     assert q.scored(odd, q.Model(odd, bad))[0].count() == odd.count() and q.scored(odd.limit(0), q.Model(odd.limit(0), bad))[0].count() == 0
 
 
+def test_quality_surest(spark, odd, big, labels, monkeypatch):
+    """The documents handed over are the surest of all rows, copies once, against a plain sort on the driver."""
+    monkeypatch.setattr(q, "HANDED", 7)
+    docs = big.select("doc_id", "text", "lang", "source", "n_chars").union(big.select(F.lit(None), "text", "lang", "source", "n_chars")).union(odd.select("doc_id", "text", "lang", "source", "n_chars"))
+    model = q.Model(docs, labels)
+    feats = q.features(docs).repartition(13).cache()
+    rows = feats.toArrow()
+    key, words = rows.column("key").to_numpy(), q.Rows(q._ids(rows.column("gaps")))
+    hot = model.meta.ids(np.array(rows.column("meta").to_pylist()))
+    targets, known = [t for t in (model.quality, model.toxic) if t.learns], {int(k) for k in key[::5]}
+    assert len(targets) == 2
+    for t in targets:
+        t.taken = [{int(k) for k in key[1::7]}, {int(k) for k in key[2::7]}]
+    want = set()
+    for i, t in enumerate(targets):
+        for k, dots in enumerate((words.dot(t.w[0]), t.w[1][hot].sum(axis=1))):
+            p = t.sure(k, dots)
+            for value, sure in ((0, 1 - p), (1, p)):
+                able = {(-int(np.rint(s * 1000)), int(d)) for s, d in zip(sure, key) if s >= q.SURE and int(d) not in known | t.taken[1 - k]}
+                want |= {((2 * i + k) * 2 + value, d) for _, d in sorted(able)[:7]}
+    got = [tuple(r) for r in q.surest(feats, targets, model.meta, known).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 14
+    figures = np.ceil(np.minimum(np.array(rows.column("meta").to_pylist())[:, 2:], 64) * 1000) / 1000
+    assert np.allclose(q._cuts(feats), np.quantile(figures, np.arange(1, q.BINS) / q.BINS, axis=0, method="inverted_cdf").T)
+
+
 def test_mixing(spark, big, labels, odd, sf):
     work = Workspace(spark, "t")
     model = mix.fit_membership(big, mix.labelled_languages(big, labels), mix.TARGETS)
