@@ -156,7 +156,8 @@ class Model:
     def __init__(self, docs: DataFrame, labels: DataFrame):
         """Fit on a bounded sample of `labels` (doc_id, quality, toxic) and on the surest of all documents."""
         work = Workspace(docs.sparkSession, "quality")
-        feats = work.write(features(docs), "features", compression="zstd")
+        # small row groups, as a writer holds one in memory
+        feats = work.write(features(docs), "features", compression="zstd", **{"parquet.block.size": str(16 << 20)})
         one = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col("quality").cast("double")).alias("q"), F.avg(F.col("toxic").cast("double")).alias("x"))
         # the list is cut to its bound before any features are read, so it may be broadcast
         some = feats.select("doc_id", "key").where("doc_id is not null").distinct().join(one, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(LABELLED)
@@ -247,21 +248,22 @@ def surest(feats: DataFrame, targets: list[Target], meta: Meta, known: set[int])
     shared = feats.sparkSession.sparkContext.broadcast(([t.views() for t in targets], meta, np.array(sorted(known), np.int64), [[np.array(sorted(x), np.int64) for x in t.taken] for t in targets]))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        claim("quality rounds")  # the memo of words is of no use here
         targets, meta, known, taken = shared.value
         none = np.empty(0, np.int64), np.empty(0, np.int32)
         best = [none] * (4 * len(targets))
         for batch in batches:
-            keys, rows = batch.column(0).to_numpy(), Rows(_ids(batch.column(1)))
-            if not len(keys):
-                continue
-            hot = meta.ids(np.array(batch.column(2).to_pylist(), float))
-            free = ~np.isin(keys, known)
-            for i, t in enumerate(targets):
-                for k, dots in enumerate((rows.dot(t.w[0]), t.w[1][hot].sum(axis=1))):
-                    p, may = t.sure(k, dots), free & ~np.isin(keys, taken[i][1 - k])
-                    for value, sure in ((0, 1 - p), (1, p)):
-                        g, ok = (2 * i + k) * 2 + value, may & (sure >= SURE)
-                        best[g] = _best(np.append(best[g][0], keys[ok]), np.append(best[g][1], np.rint(sure[ok] * 1000).astype(np.int32)))
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                keys, rows = part.column(0).to_numpy(), Rows(_ids(part.column(1)))
+                hot = meta.ids(np.array(part.column(2).to_pylist(), float))
+                free = ~np.isin(keys, known)
+                for i, t in enumerate(targets):
+                    for k, dots in enumerate((rows.dot(t.w[0]), t.w[1][hot].sum(axis=1))):
+                        p, may = t.sure(k, dots), free & ~np.isin(keys, taken[i][1 - k])
+                        for value, sure in ((0, 1 - p), (1, p)):
+                            g, ok = (2 * i + k) * 2 + value, may & (sure >= SURE)
+                            best[g] = _best(np.append(best[g][0], keys[ok]), np.append(best[g][1], np.rint(sure[ok] * 1000).astype(np.int32)))
         for g, (key, sure) in enumerate(best):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), g, np.int32)), pa.array(key, pa.int64()), pa.array(sure.astype(np.int32))], ["g", "key", "sure"])
 
