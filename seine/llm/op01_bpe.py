@@ -3,8 +3,10 @@
 A greedy merge encoding has two properties: what is left of it after its last token goes is the encoding of the
 shorter text, and a row of tokens is an encoding if each pair of neighbours is one. So each prefix of a word has
 exactly one possible last token: the vocabulary entry that ends the prefix and stands well beside the last token of
-what goes before it. The distinct words of a batch go into a trie; a depth-first walk carries the last token of each
-prefix down, so a prefix shared by many words is worked out once, and a word's ids are read back from its leaf.
+what goes before it. The distinct words of a batch are met in the order of their bytes, which is a depth-first walk of
+their trie; it carries the last token of each prefix down, so a prefix shared with the word before is not worked out
+again, and a word's ids are read back from its leaf. The entries that end a prefix come from a state beside it: the
+longest end of the prefix that begins an entry, as in the automaton of Aho and Corasick, whose steps are made when met.
 
 Nothing is shuffled: each Python worker keeps a bounded table of runs of characters it has met, for speed alone.
 
@@ -26,8 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from seine.llm.common import claim, table
 from seine.llm.wordsplit import END, WordSplitter, byte_chars
 
-#: What an entry of a memo counts besides its characters and ids, and the most pairs of tokens that are remembered.
-ENTRY, STANDS = 40, 300_000
+#: What an entry of a memo counts besides its characters and ids, and the most pairs of tokens, and steps of the
+#: automaton, that are remembered.
+ENTRY, STANDS, STEPS = 40, 300_000, 300_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -37,6 +40,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class State:
+    """An end of a prefix: its bytes, the tokens that end it (with their lengths, longest first), and what follows on each
+    byte: another state, or, where the byte ends a word, the tokens that end there."""
+
+    __slots__ = ("text", "fits", "steps", "ends")
+
+    def __init__(self, text: bytes, fits: list[tuple[int, int]]):
+        self.text, self.fits = text, fits
+        self.steps: dict[int, State] = {}
+        self.ends: dict[int, list[tuple[int, int]]] = {}
+
+
 class TrieBpe(WordSplitter):
     def __init__(self, path: str):
         super().__init__(path)
@@ -45,9 +60,16 @@ class TrieBpe(WordSplitter):
         self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.longest = max(len(s.removesuffix(END)) for s in self.vocab)
-        self.table = {b: c for b, c in byte_chars().items()}
+        table = {c: b for b, c in byte_chars().items()}
+        self.inner: dict[bytes, int] = {}  # tokens within words, and tokens that end words, by their bytes
+        self.final: dict[bytes, int] = {}
+        for s, i in self.vocab.items():
+            body = s.removesuffix(END)
+            if body and all(c in table for c in body):
+                (self.final if s.endswith(END) else self.inner)[bytes(table[c] for c in body)] = i
+        self.begins = {t[:n] for t in (*self.inner, *self.final) for n in range(len(t) + 1)}
         self.stands: dict[int, bool] = {}
+        self.restart()
         del self.spec
 
     def symbols(self, token: int) -> list[int]:
@@ -76,44 +98,71 @@ class TrieBpe(WordSplitter):
             known = self.stands[key] = (self.merged(self.symbols(token)) == [token]) if before < 0 else (self.merged(self.symbols(before) + self.symbols(token)) == [before, token])
         return known
 
+    def restart(self) -> None:
+        self.root = State(b"", [])
+        self.states, self.n_steps = {b"": self.root}, 0
+
+    def step(self, state: State, byte: int) -> State:
+        text = state.text + bytes((byte,))
+        while text not in self.begins:
+            text = text[1:]
+        to = self.states.get(text)
+        if to is None:
+            to = self.states[text] = State(text, self.fitting(text, self.inner))
+        state.steps[byte] = to
+        self.n_steps += 1
+        return to
+
+    def end(self, state: State, byte: int) -> list[tuple[int, int]]:
+        fits = state.ends[byte] = self.fitting(state.text + bytes((byte,)), self.final)
+        self.n_steps += 1
+        return fits
+
+    @staticmethod
+    def fitting(text: bytes, tokens: dict[bytes, int]) -> list[tuple[int, int]]:
+        return [(tokens[text[a:]], len(text) - a) for a in range(len(text)) if text[a:] in tokens]
+
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """Ids of distinct words, in the order of the walk."""
-        root: dict = {}
-        for word in words:
-            chars = word.encode().decode("latin-1").translate(self.table)
-            node = root
-            for c in chars[:-1]:
-                node = node.setdefault(c, {})
-            node[chars[-1] + END] = word  # the end of a word is a symbol of its own
-        vocab, stands, beside, longest = self.vocab, self.stands, self.beside, self.longest
-        last, size, tails, walk = [-1], [0], [""], [iter(root.items())]
-        while walk:
-            for symbol, child in walk[-1]:
-                depth, end = len(walk), symbol[1:]
-                tail = (tails[-1] + symbol[0])[-longest:]
-                for n in range(len(tail), 0, -1):
-                    token = vocab.get(tail[-n:] + end)
-                    if token is not None:
-                        before = last[depth - n]
-                        known = stands.get((before << 20) ^ token)
-                        if known or known is None and beside(before, token):
-                            break
-                else:
-                    raise ValueError(f"no last token for {tail!r}")
-                if end:
-                    ids, at = [token], depth - n
-                    while at:
-                        ids.append(last[at])
-                        at -= size[at]
-                    yield child, ids[::-1]
+        stands, beside, step = self.stands, self.beside, self.step
+        if self.n_steps > STEPS:
+            self.restart()
+        last, size, path, before = [-1], [0], [self.root], b""
+        for word in sorted(words):  # code points are in the order of their bytes
+            raw = word.encode()
+            shared, most = 0, min(len(before), len(raw)) - 1  # the end of a word is a symbol of its own
+            while shared < most and before[shared] == raw[shared]:
+                shared += 1
+            depth, before = shared, raw
+            del last[depth + 1 :], size[depth + 1 :], path[depth + 1 :]
+            state = path[depth]
+            for byte in raw[depth:-1]:
+                depth += 1
+                state = state.steps.get(byte) or step(state, byte)
+                for token, n in state.fits:
+                    pair = (last[depth - n] << 20) ^ token
+                    known = stands.get(pair)
+                    if known or known is None and beside(last[depth - n], token):
+                        break
                 else:
-                    last.append(token)
-                    size.append(n)
-                    tails.append(tail)
-                    walk.append(iter(child.items()))
+                    raise ValueError(f"no last token for {raw[:depth]!r}")
+                last.append(token)
+                size.append(n)
+                path.append(state)
+            at, byte = len(raw), raw[-1]
+            for token, n in state.ends.get(byte) or self.end(state, byte):
+                pair = (last[at - n] << 20) ^ token
+                known = stands.get(pair)
+                if known or known is None and beside(last[at - n], token):
                     break
             else:
-                walk.pop(), last.pop(), size.pop(), tails.pop()
+                raise ValueError(f"no last token for {raw!r}")
+            ids, at = [token], at - n
+            while at:
+                ids.append(last[at])
+                at -= size[at]
+            ids.reverse()
+            yield word, ids
 
     def decode(self, ids: Iterable[int]) -> str:
         """The file names no decoder: token strings joined by one space, unknown ids left out."""

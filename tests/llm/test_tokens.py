@@ -81,3 +81,44 @@ def test_files(spark, odd, big):
             want.append((doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             at += len(ids)
         assert got == want
+
+
+class Asked(dict):
+    """A dictionary that counts what it is asked."""
+
+    n = 0
+
+    def get(self, *a):
+        self.n += 1
+        return super().get(*a)
+
+    def __contains__(self, key):
+        self.n += 1
+        return super().__contains__(key)
+
+
+def gibberish(n):
+    rng, parts = np.random.default_rng(5), ["th", "oning", "ció", "ß", "ö", "tz", "ment", "a", "ally", "日", "ent", "re"]
+    return sorted({"".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(n)})
+
+
+def test_walk_looks_up_little():
+    trie, words = b.TrieBpe(b.vocabulary()), gibberish(3_000)
+    warm = dict(trie.encode_words(words))
+    tables = {k: Asked(v) for k, v in vars(trie).items() if k in ("vocab", "inner", "final", "stands")}
+    vars(trie).update(tables)
+    assert dict(trie.encode_words(words)) == warm
+    pairs, size = tables.pop("stands").n, sum(len(w.encode()) for w in words)
+    # entries that end a prefix come from its state: nothing is cut from a prefix and looked up again
+    assert sum(t.n for t in tables.values()) == 0 and 0 < pairs < 2 * size
+
+
+def test_walk_forgets(monkeypatch):
+    words = [*gibberish(200), "a", "ab", "abc", "x" * 5_000, "thing" * 900, "é" * 700]
+    want = {w: lib(w) for w in words}
+    trie = b.TrieBpe(b.vocabulary())
+    monkeypatch.setattr(b, "STANDS", 3)
+    monkeypatch.setattr(b, "STEPS", 0)
+    for _ in range(3):
+        assert dict(trie.encode_words(words)) == want
+        assert all(dict(trie.encode_words([w])) == {w: want[w]} for w in words[::20])
