@@ -26,9 +26,12 @@ def near_pairs(fps: DataFrame, k: int = HAMMING_K, blocks: int = 2 * NUM_BLOCKS
     masks = [sum(x) - (sum(x) >> 63 << 64) for x in combinations(parts, blocks - k)]
     keys = F.array(*(F.struct(F.lit(no).alias("no"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("value")) for no, mask in enumerate(masks)))
     rows = fps.select("id", "fp", F.inline(keys))
-    a, b = rows.alias("a"), rows.alias("b")
-    on = [F.col("a.no") == F.col("b.no"), F.col("a.value") == F.col("b.value"), F.col("a.id") < F.col("b.id"), F.expr(f"bit_count(a.fp ^ b.fp) <= {k}")]
-    return a.join(b, on).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
+    # Spark takes the rows of a key each for no more than the fingerprints they come from, and would send them to all by way of the driver
+    a, b = rows.alias("a"), rows.hint("merge").alias("b")
+    # a pair counts under the first key it shares, so it comes once
+    first = F.coalesce(*(F.when(F.col("a.fp").bitwiseXOR(F.col("b.fp")).bitwiseAND(F.lit(mask).cast("long")) == 0, no) for no, mask in enumerate(masks))) == F.col("a.no")
+    on = [F.col("a.no") == F.col("b.no"), F.col("a.value") == F.col("b.value"), F.col("a.id") < F.col("b.id"), F.expr(f"bit_count(a.fp ^ b.fp) <= {k}"), first]
+    return a.join(b, on).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"))
 
 
 def first_independent(nodes: DataFrame, pairs: DataFrame, tables: Tables) -> DataFrame:

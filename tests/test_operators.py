@@ -145,3 +145,10 @@ def test_near_pairs_miss_none(spark, tmp_path):
     signed = [x - (x >> 63 << 64) for x in fps]
     got = {tuple(r) for r in near_pairs(spark.createDataFrame(list(enumerate(signed)), "id long, fp long")).collect()}
     assert got == {(i, j) for j in range(len(fps)) for i in range(j) if 1 <= (fps[i] ^ fps[j]).bit_count() <= 3}
+
+
+def test_near_pairs_send_nothing_to_all(spark):
+    """Each fingerprint has twenty rows in the join, which the planner does not see; a broadcast of them goes by way of the driver."""
+    got = dd.near_pairs(spark.createDataFrame([(i, i * 8191) for i in range(50)], "id long, fp long"))
+    rows = [tuple(r) for r in got.collect()]
+    assert "Broadcast" not in got._jdf.queryExecution().toString() and len(rows) == len(set(rows))
