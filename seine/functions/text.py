@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +26,14 @@ def query_tokens(text: str, stemmed: bool = False) -> list[str]:
     return [stem(t) for t in kept] if stemmed else kept
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems(rows: pd.Series) -> pd.Series:
-    """Porter stems of arrays of tokens; each worker remembers words."""
-    return rows.map(lambda r: [stem(t) for t in r])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stems(rows: pa.Array) -> pa.Array:
+    """Porter stems of arrays of tokens; a batch's words are stemmed once each, and each worker remembers words."""
+    words = rows.flatten().dictionary_encode()
+    found = pa.array([stem(w) for w in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+    ends = pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.list_value_length(rows), 0))
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+    return pa.ListArray.from_arrays(offsets, found)
 
 
 def token_arrays(docs: DataFrame, text: str = "text", stemmed: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
