@@ -42,12 +42,18 @@ class Query:
         return [t for t in self.counts if " " in t and t in self.idf and all(self.idf.get(p, 0) >= MIN_IDF for p in t.split(" "))]
 
 
-def parse(text: str, terms: DataFrame, stemmed: bool = False) -> Query:
-    """Counts of the query's terms and bigrams; their idf is looked up (a row per term of the query)."""
+def query_terms(text: str, stemmed: bool = False) -> dict[str, int]:
+    """Counts of the query's terms and bigrams."""
     words = query_tokens(text, stemmed)
     counts: dict[str, int] = {}
     for t in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]:
         counts[t] = counts.get(t, 0) + 1
+    return counts
+
+
+def parse(text: str, terms: DataFrame, stemmed: bool = False) -> Query:
+    """Counts of the query's terms and bigrams; their idf is looked up (a row per term of the query)."""
+    counts = query_terms(text, stemmed)
     idf = {r["term"]: r["idf"] for r in terms.where(F.col("term").isin(list(counts))).select("term", "idf").collect()} if counts else {}
     return Query(counts, idf)
 

@@ -152,3 +152,32 @@ def test_near_pairs_send_nothing_to_all(spark):
     got = dd.near_pairs(spark.createDataFrame([(i, i * 8191) for i in range(50)], "id long, fp long"))
     rows = [tuple(r) for r in got.collect()]
     assert "Broadcast" not in got._jdf.queryExecution().toString() and len(rows) == len(set(rows))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_norms_and_postings_group_nothing(spark, sf):
+    """A task holds a document, not the terms of all its documents, and a search makes no postings of other terms."""
+    from seine.plans import queries as q
+
+    for name in ("doc_norms", "postings_tf"):
+        assert "Aggregate" not in _plan(q.QUERIES[name](spark, sf))
+    plan = _plan(q.QUERIES["term_stats"](spark, sf))
+    assert plan.rindex("HashAggregate") < plan.index("REPARTITION_BY_NUM")
+    index = q._index(spark, sf, "of the", stemmed=True)
+    assert {r["term"] for r in index.postings.select("term").distinct().collect()} <= {"of", "the", "of the"}
+
+
+def test_search_rows_are_those_of_the_whole_index(spark):
+    docs = spark.createDataFrame([(1, "b a b, a! b"), (2, ""), (3, "c"), (4, "a"), (5, None)], "doc_id long, text string")
+    arrays = ix.arrays_of(docs)
+    whole = ix.postings(arrays, positions=True)
+    found = ix.looked_up(arrays, ["a", "b a"])
+    rows = lambda df: sorted((r["doc_id"], r["term"], r["tf"], [tuple(p) for p in r["positions"]]) for r in df.collect())
+    assert rows(found.select("doc_id", F.inline("hits"))) == rows(whole.where("term in ('a', 'b a')"))
+    norms = {r["doc_id"]: r["norm"] for r in ix.norms(whole).collect()}
+    assert {r["doc_id"]: r["norm"] for r in found.collect()} == pytest.approx({k: norms[k] for k in (1, 4)})
+    assert {r["doc_id"]: r["norm"] for r in ix.norms_of(arrays).collect()} == pytest.approx(norms)
+    assert ix.looked_up(arrays, []).count() == 0
