@@ -181,3 +181,26 @@ def test_search_rows_are_those_of_the_whole_index(spark):
     assert {r["doc_id"]: r["norm"] for r in found.collect()} == pytest.approx({k: norms[k] for k in (1, 4)})
     assert {r["doc_id"]: r["norm"] for r in ix.norms_of(arrays).collect()} == pytest.approx(norms)
     assert ix.looked_up(arrays, []).count() == 0
+
+
+def test_pagerank_of_many_blocks(spark, monkeypatch):
+    """Edges are packed once into a file for each block; ranks are those of a plain loop, up to the first step that moves none."""
+    import glob
+
+    monkeypatch.setattr(lk, "BLOCK_EDGES", 20, raising=False)
+    rng = random.Random(9)
+    ids = [i * i - 50 for i in range(30)]
+    edges = sorted({(rng.choice(ids[:25]), rng.choice(ids)) for _ in range(90)})
+    rank, out = dict.fromkeys(ids, 1.0), {s: [d for a, d in edges if a == s] for s in ids}
+    for _ in range(100):
+        new = dict.fromkeys(ids, 0.15 / len(ids))
+        for s, ds in out.items():
+            for d in ds:
+                new[d] += 0.85 * rank[s] / len(ds)
+        moved, rank = max(abs(new[i] - rank[i]) for i in ids), new
+        if moved < 0.02:
+            break
+    tables = Tables(spark, "t")
+    got = lk.pagerank(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(edges, "src long, dst long"), tables, tolerance=0.02, together=4)
+    assert {r["id"]: r["rank"] for r in got.collect()} == pytest.approx(rank, rel=1e-12)
+    assert len(glob.glob(tables.root.removeprefix("file://") + "/blocks/*.npz")) > 2
